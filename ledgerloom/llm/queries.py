@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
+from .mixing import op4_mix_sources
+from .secrets import op9_secret_ledger
 
 QUERIES = {
+    "op4_mix_sources": op4_mix_sources,
     "op8_decontaminate": op8_decontaminate,
+    "op9_secret_ledger": op9_secret_ledger,
 }
 
 ORACLES: dict[str, str] = {}
