@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
 from .mixing import op4_mix_sources
+from .replytrees import OP7_SQL, op7_format_conversations
 from .secrets import op9_secret_ledger
 
 QUERIES = {
     "op4_mix_sources": op4_mix_sources,
+    "op7_format_conversations": op7_format_conversations,
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_ledger": op9_secret_ledger,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_format_conversations": OP7_SQL,
+}
