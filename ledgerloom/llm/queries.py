@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op8_decontaminate
 from .matroska import op1_matroska
 from .mixing import op4_mix_sources
+from .quality import op10_quality
 from .replytrees import OP7_SQL, op7_format_conversations
 from .secrets import op9_secret_ledger
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_format_conversations": op7_format_conversations,
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_ledger": op9_secret_ledger,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
