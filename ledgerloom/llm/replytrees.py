@@ -38,30 +38,31 @@ def unescape(text, role: bool = False):
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def paths(messages: DataFrame, top: int = 1, max_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, leaf, branch, depth, role, text): the messages of each tree's ``top`` best branches, branch 1 the best, depth from 0."""
     m = messages.select("tree", "id", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     known = m.select(F.col("id").alias("parent"), F.lit(True).alias("__known"))
     m = written(m.join(known, "parent", "left").withColumn("parent", F.when(F.col("__known"), F.col("parent"))).drop("__known"), "messages")
     answered = m.where("parent is not null").select(F.col("parent").alias("id")).distinct()
-    # up: 2^k steps above, or null past the root; depth and total cover what was passed on the way.
-    hop = m.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.col("score").alias("total"))
+    # up: 2^k steps above, or null past the root; depth and total cover what was passed on the way. Messages whose root is
+    # reached rest; only the others join again, and after log2(messages) rounds those left are in cycles.
+    first = m.select("id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    done, active = first.where("up is null"), first.where("up is not null")
     hops = []
-    for _ in range(max_rounds):
-        hop = written(hop, "hop")
-        hops.append(hop.where("up is not null").select("id", "up"))
-        if hop.where("up is not null").limit(1).count() == 0:
+    for _ in range(m.count().bit_length() + 1):
+        if active.limit(1).count() == 0:
             break
-        far = hop.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("total").alias("extra"))
-        near = hop.join(far, "up", "left")
-        hop = near.select("id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("extra", F.lit(0.0))).alias("total"))
-    done = hop.where("up is null").select("id", "depth", "total")
+        hops.append(active.select("id", "up"))
+        far = done.unionByName(active).select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("total").alias("extra"))
+        hop = written(active.join(far, "up").select("id", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("extra")).alias("total")), "hop")
+        done, active = done.unionByName(hop.where("up is null")), hop.where("up is not null")
+    done = done.select("id", "depth", "total")
     leaves = m.select("tree", "id").join(answered, "id", "left_anti").join(done, "id")
     best = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), "id"))
     chosen = leaves.withColumn("branch", best).where(F.col("branch") <= top).select("tree", F.col("id").alias("leaf"), "branch", "id")
     # Climb from the chosen leaves: each round adds the messages 2^k above those found so far.
     found = chosen
-    for step in reversed(hops[:-1]):
+    for step in reversed(hops):
         found = written(found, "found")
         found = found.unionByName(found.join(step, "id").select("tree", "leaf", "branch", F.col("up").alias("id")))
     return found.join(done.select("id", "depth"), "id").join(m.select("id", "role", "text"), "id").select("tree", "leaf", "branch", "depth", "role", "text")
