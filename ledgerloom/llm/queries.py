@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op8_decontaminate
 from .matroska import op1_matroska
 from .mixing import op4_mix_sources
+from .ngramjoin import op5_parity_sketch_join
 from .quality import op10_quality
 from .replytrees import OP7_SQL, op7_format_conversations
 from .secrets import op9_secret_ledger
@@ -12,6 +13,7 @@ from .secrets import op9_secret_ledger
 QUERIES = {
     "op1_matroska": op1_matroska,
     "op4_mix_sources": op4_mix_sources,
+    "op5_parity_sketch_join": op5_parity_sketch_join,
     "op7_format_conversations": op7_format_conversations,
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_ledger": op9_secret_ledger,
