@@ -9,9 +9,11 @@ from .ngramjoin import op5_parity_sketch_join
 from .quality import op10_quality
 from .replytrees import OP7_SQL, op7_format_conversations
 from .secrets import op9_secret_ledger
+from .suffixdedup import op2_suffix_dedup
 
 QUERIES = {
     "op1_matroska": op1_matroska,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_parity_sketch_join": op5_parity_sketch_join,
     "op7_format_conversations": op7_format_conversations,
