@@ -39,7 +39,7 @@ class Params:
     grams: tuple = (1, 3, 4)
     epochs: int = 4
     rate: float = 0.5
-    max_train: int = 6000
+    max_train: int = 4000
     seed: int = 11
     threshold: float = 0.3
     blank: int = 80
@@ -61,7 +61,7 @@ class Model:
         """Probability of label 1. Sums and counts of words travel together in a complex number."""
         words = WORDS.findall(raw)
         cache = self.cache
-        if len(cache) > 300_000:
+        if len(cache) > 200_000:
             cache.clear()
         total, before, again = 0j, None, 0
         for w in words:
@@ -77,7 +77,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def features(word: bytes, p: Params) -> list[int]:
+def features(word: bytes, p: Params) -> np.ndarray:
     """Buckets of the word and of its n-grams over bytes; the word's own is its hash with the end mark on both sides."""
     w = END_OF_WORD + word + END_OF_WORD
     if len(word) > 200:  # a long run without a space: its grams say it all, and the word itself never comes again
@@ -85,24 +85,26 @@ def features(word: bytes, p: Params) -> list[int]:
     out = [zlib.crc32(w) % p.buckets]
     for n in p.grams:
         out += [zlib.crc32(w[i : i + n], n) % p.buckets for i in range(len(w) - n + 1)]
-    return out
+    return np.array(out, np.int32)
 
 
 def document(raw: bytes, p: Params, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares of its features."""
-    ids: list[int] = []
-    before = None
+    parts = []
+    before, again = None, 0
     for w in WORDS.findall(raw):
-        if w == before:
-            ids.append(TWICE % p.buckets)
+        again += w == before
         before = w
         got = cache.get(w)
         if got is None:
+            if len(cache) > 50_000:
+                cache.clear()
             got = cache[w] = features(w, p)
-        ids += got
-    if not ids:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
-    u, n = np.unique(np.asarray(ids, np.int64), return_counts=True)
+        parts.append(got)
+    if not parts:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    ids = np.concatenate([*parts, np.full(again, TWICE % p.buckets, np.int32)])
+    u, n = np.unique(ids, return_counts=True)
     return u, (n / (len(ids) + p.blank)).astype(np.float32)
 
 
@@ -118,8 +120,6 @@ def train(rows: list[tuple[bytes, int]], p: Params = Params()) -> Model:
     docs = []
     for raw, y in rows:
         docs.append((*document(raw, p, cache), y))
-        if len(cache) > 400_000:
-            cache.clear()
     share = {1: len(rows) / (2 * ones), 0: len(rows) / (2 * (len(rows) - ones))}
     steps, done = p.epochs * len(docs), 0
     for _ in range(p.epochs):
