@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
+from .fuzzylines import op6_fuzzy_lines
 from .matroska import op1_matroska
 from .mixing import op4_mix_sources
 from .ngramjoin import op5_parity_sketch_join
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_parity_sketch_join": op5_parity_sketch_join,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_format_conversations": op7_format_conversations,
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_ledger": op9_secret_ledger,
