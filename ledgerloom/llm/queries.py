@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op8_decontaminate
 from .fuzzylines import op6_fuzzy_lines
+from .licenses import OP3_SQL, op3_license_sentences
 from .matroska import op1_matroska
 from .mixing import op4_mix_sources
 from .ngramjoin import op5_parity_sketch_join
@@ -15,6 +16,7 @@ from .suffixdedup import op2_suffix_dedup
 QUERIES = {
     "op1_matroska": op1_matroska,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_license_sentences": op3_license_sentences,
     "op4_mix_sources": op4_mix_sources,
     "op5_parity_sketch_join": op5_parity_sketch_join,
     "op6_fuzzy_lines": op6_fuzzy_lines,
@@ -25,5 +27,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_license_sentences": OP3_SQL,
     "op7_format_conversations": OP7_SQL,
 }
