@@ -9,9 +9,9 @@ kept as the XOR of its 64-bit hashes, a linear hash of its parity bits. Empty bl
 fewer than m - d are empty, since then one that isn't must agree.
 
 Groups of many copies stay linear. Equal sets are one node (their hash sum is the node's id). In each bucket all nodes pair with the
-smallest only; pairs pass the sketches' Hamming bound and are verified on the whole sets. Where that leaves a bucket in more than one
-connected group, nodes of different groups are compared by their sketches, in blocks that spread over tasks, and what passes
-is verified too. So no link that joins two groups is lost, and pairs inside a group that already hangs together are never made.
+smallest only; pairs pass the sketches' Hamming bound and are verified on the whole sets. Buckets that this leaves in more than one
+connected group are joined to clusters over shared nodes; a cluster's nodes of different groups are compared by their sketches, in
+blocks that spread over tasks, and what passes is verified too. So no link that joins two groups is lost, and pairs inside a group that already hangs together are never made.
 
 Cases: null and empty texts have no shingles and are linked with nothing; fewer words than a shingle give one shingle of all of them; repeated
 rows are linked with each other; null ids get a component like others, under the smallest id that isn't null; extra columns are not read.
@@ -261,13 +261,18 @@ def verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, k: int, num:
 
 
 def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int, block: int = 2048) -> DataFrame:
-    """Pairs of nodes in one bucket but in different groups so far whose sketches allow a link.
+    """Pairs of nodes in different groups so far that buckets hold together and whose sketches allow a link.
 
-    Buckets that hang together go. The others' nodes are dealt into blocks by hash and each pair of blocks is one group of rows.
+    Buckets that hang together go. The others are joined to clusters over the nodes they share, so that a pair is looked at once and not in
+    every bucket; a cluster's nodes are dealt into blocks by hash and each pair of blocks is one group of rows.
     """
     told = members.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = told.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    dealt = told.join(apart.select("bucket", (F.col("size") / block).cast("int").alias("last")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
+    apart = told.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("head")).where("lo <> hi")
+    held = written(told.join(apart.select("bucket", "head"), "bucket").select("head", "node", "component").distinct(), "apart")
+    cluster = connected(held, "head", "node").select(F.col("id").alias("node"), F.col("component").alias("bucket"))
+    told = held.select("node", "component").distinct().join(cluster, "node")
+    sizes = told.groupBy("bucket").agg((F.count("*") / block).cast("int").alias("last"))
+    dealt = told.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
     rows = dealt.join(nodes.select("node", "n", "sketch"), "node")
