@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,11 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` as a parquet table in the shared folder, read again: it cuts lineage and survives a lost executor."""
+def written(df: DataFrame, name: str = "step", free: bool = False) -> DataFrame:
+    """``df`` as a parquet table in the shared folder, read again: it cuts lineage and survives a lost executor.
+
+    ``free`` has the driver collect its garbage afterwards, on which Spark deletes the shuffle files of the finished job.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ledgerloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

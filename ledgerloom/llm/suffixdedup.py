@@ -1,10 +1,10 @@
 """Removal of repeated 100-byte strings by bucket-pointer refinement of a sampled suffix array.
 
 Two 100-byte strings are equal when they stand in one bucket of the suffix array at depth 100. A bucket's identifier at depth 2d is made of the
-identifiers at depth d of the suffix itself and of the one d bytes later, so identifiers of 25-byte grams are reused for depth 50 and
-those for depth 100. What is sorted across the cluster is a sample: in every 100-byte string the smallest 25-gram identifier marks one
+identifiers at depth d of the suffix itself and of the one d bytes later, so the identifiers of 50-byte grams are used again for
+depth 100. What is sorted across the cluster is a sample: in every 100-byte string the smallest 50-gram identifier marks one
 suffix, and equal strings mark the same place. Strings that follow one another and share their mark form one entry, one for about
-38 bytes, with the mark's bucket and, as its refinement, a digest of the entry's whole text.
+26 bytes, with the mark's bucket and, as its refinement, a digest of the entry's whole text.
 
 Pass 1 sorts entries by bucket, refinement and place. Buckets with one entry are done, like most. Entries with the same refinement
 are the same text: all but the first repeat. The first ones of a bucket with several refinements go on.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import table, written
 
-LENGTH, GRAM = 100, 25
+LENGTH, GRAM = 100, 50
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _CODE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)  # a random number for each byte value
 _BASE = 0xD6E8FEB86659FD93
@@ -65,12 +65,12 @@ class Block:
         return _mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64) * _C)
 
     def grams(self) -> np.ndarray:
-        """Bucket identifiers at depth 25 for each place where 25 bytes follow."""
+        """Bucket identifiers at depth 50 for each place where 50 bytes follow."""
         n = len(self.data) - GRAM + 1
         return _mix((self.sums[GRAM:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
 
     def strings(self, grams: np.ndarray) -> np.ndarray:
-        """Identifiers at depth 100 from those at depth 25, doubling the depth twice."""
+        """Identifiers at depth 100 from those at depth 50, by doubling the depth."""
         ids, depth = grams, GRAM
         while depth < LENGTH:
             ids = _mix(ids[: len(ids) - depth] + _C * ids[depth:]) if len(ids) > depth else ids[:0]
@@ -122,11 +122,12 @@ def _blocks(batches):
         yield ids, texts
 
 
-ENTRY = "bucket long, refined long, row_id long, first int, last int, settled boolean"
+ENTRY = "bucket long, refined long, row_id long, place long"
 
 
 def _entry_rows(batches):
-    """All entries; in each block those that repeat an earlier entry of the block are settled, and travel apart from their bucket."""
+    """All entries, their first place and their length in ``place``. Those that repeat an earlier entry of their block are settled: they travel apart
+    from their bucket, with a negative place."""
     for ids, texts in _blocks(batches):
         block = Block(texts)
         bucket, refined, a, b = block.entries()
@@ -134,15 +135,13 @@ def _entry_rows(batches):
             continue
         text = np.searchsorted(block.start, a, side="right") - 1
         row = np.array(ids, np.int64)[text]
-        order = np.lexsort((a - block.start[text], row, refined, bucket))
+        place = (a - block.start[text]) * 128 + (b - a)
+        order = np.lexsort((place, row, refined, bucket))
         same = np.zeros(len(a), bool)
         x, y = bucket[order], refined[order]
         same[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
         bucket = np.where(same, _mix(row.astype(np.uint64) + _B), bucket)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(bucket.view(np.int64)), pa.array(refined.view(np.int64)), pa.array(row), pa.array((a - block.start[text]).astype(np.int32)), pa.array((b - block.start[text]).astype(np.int32)), pa.array(same)],
-            ["bucket", "refined", "row_id", "first", "last", "settled"],
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(refined.view(np.int64)), pa.array(row), pa.array(np.where(same, -1 - place, place))], ["bucket", "refined", "row_id", "place"])
 
 
 FOUND = "row_id long, first int, last int, repeats boolean"
@@ -156,14 +155,16 @@ def _sort_entries(batches):
     bucket = refined = head = None
     several = False
     for batch in batches:
-        settled = batch.column(5).to_numpy(zero_copy_only=False)
-        rest = batch.filter(pa.array(settled))
-        if rest.num_rows:
-            yield _found(rest.column(2).to_numpy(), rest.column(3).to_numpy(), rest.column(4).to_numpy(), np.ones(rest.num_rows, bool))
-        batch = batch.filter(pa.array(~settled))
-        if not batch.num_rows:
+        k, r, row, place = (batch.column(c).to_numpy() for c in range(4))
+        settled = place < 0
+        place = np.where(settled, -1 - place, place)
+        a = (place // 128).astype(np.int32)
+        b = a + (place % 128).astype(np.int32)
+        if settled.any():
+            yield _found(row[settled], a[settled], b[settled], np.ones(int(settled.sum()), bool))
+            k, r, row, a, b = (x[~settled] for x in (k, r, row, a, b))
+        if not len(k):
             continue
-        k, r, row, a, b = (batch.column(c).to_numpy() for c in range(5))
         goes_on = bucket is not None and k[0] == bucket
         new_k = np.concatenate([[not goes_on], k[1:] != k[:-1]])
         new_r = new_k | np.concatenate([[not (goes_on and r[0] == refined)], r[1:] != r[:-1]])
@@ -234,11 +235,12 @@ def _sort_strings(batches):
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(row_id, runs): for each row of ``docs`` (row_id, text) with repeated strings, the places where they start, as [first, last] runs."""
     entries = docs.select("row_id", "text").mapInArrow(_entry_rows, ENTRY)
-    found = entries.repartition("bucket").sortWithinPartitions("bucket", "refined", "row_id", "first").mapInArrow(_sort_entries, FOUND)
-    found = written(found, "entries")
+    found = entries.repartition("bucket").sortWithinPartitions("bucket", "refined", "row_id", "place").mapInArrow(_sort_entries, FOUND)
+    found = written(found, "entries", free=True)
     going_on = found.where("not repeats").groupBy("row_id").agg(F.collect_list(F.struct("first", "last")).alias("entries"))
     strings = docs.select("row_id", "text").join(going_on, "row_id").select("row_id", "text", "entries").mapInArrow(_string_rows, "string long, row_id long, place int, settled boolean")
     late = strings.repartition("string").sortWithinPartitions("string", "row_id", "place").mapInArrow(_sort_strings, FOUND)
+    late = written(late, "strings", free=True)
     every = found.where("repeats").select("row_id", "first", "last").unionByName(late.select("row_id", "first", "last"))
     return every.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
