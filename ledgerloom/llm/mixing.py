@@ -43,11 +43,12 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, ceiling: float =
     level = ranked.select(
         "*",
         F.sum("source_size").over(every).alias("total"),
+        F.row_number().over(below).alias("place"),
         (F.coalesce(F.sum(F.col("source_size")).over(below.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * ceiling).alias("capped"),
         F.sum("weight").over(below.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("open"),
     ).withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
     # The first source by breakpoint that the level leaves at or under its ceiling sets the level for all after it.
-    fits = F.when(F.col("level") * F.col("weight") <= F.col("source_size") * ceiling, F.struct((F.col("source_size") / F.col("weight")).alias("at"), F.col("level")))
+    fits = F.when(F.col("level") * F.col("weight") <= F.col("source_size") * ceiling, F.struct("place", "level"))
     final = level.withColumn("final", F.coalesce(F.min(fits).over(every)["level"], F.lit(float("inf"))))
     return final.select("source", "source_size", F.least(F.col("weight") * F.col("final"), F.col("source_size") * ceiling).alias("target"))
 
