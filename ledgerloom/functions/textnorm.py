@@ -73,4 +73,4 @@ def content_key(cv, jd, size: int = 2000):
 
 def decode_text(content):
     """Bytes as UTF-8 where they are valid, else as Latin-1."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, F.lit("ISO-8859-1")))
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))

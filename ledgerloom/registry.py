@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import conversations, evaluation, retrieval, structure, text, traces  # noqa: F401
+from .plans import conversations, evaluation, retrieval, streams, structure, tables, text, traces  # noqa: F401
 from .registration import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
