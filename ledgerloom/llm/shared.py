@@ -55,19 +55,38 @@ def word_count(col):
 def connected(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over the undirected ``edges``, for each id in an edge.
 
-    Every round takes the smallest label among a node's neighbours and then jumps to the label of
-    that label, so a chain of n nodes takes about log n rounds. Labels and edges stay distributed;
-    each round is written to the shared folder. Null ends are ignored.
+    Each round points every node to its smallest neighbour (or itself), follows the pointers to their roots by doubling, and shrinks the
+    edges to those between different roots. At most half of the nodes are roots, so log n rounds are enough; a star needs one. Pointers
+    and edges stay distributed and are written to the shared folder. Null ends are ignored; an edge from a node to itself says nothing.
     """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    both = written(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
+    low, high = F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+    left = written(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(low, high).distinct(), "edges")
+    labels = None
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("lab"))
-        jump = labels.select(F.col("id").alias("lab"), F.col("component").alias("far"))
-        moved = written(step.join(jump, "lab", "left").select("id", "was", F.least("lab", "far").alias("component")), "labels")
-        labels = moved.select("id", "component")
-        if moved.where("was <> component").limit(1).count() == 0:
+        if labels is not None and left.limit(1).count() == 0:
             return labels
+        ends = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        roots = _roots(written(ends.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("near")).select("id", F.least("id", "near").alias("component")), "pointers"))
+        if labels is None:
+            labels = roots
+        else:
+            further = roots.select(F.col("id").alias("component"), F.col("component").alias("root"))
+            labels = written(labels.join(further, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
+        root = lambda end, name: roots.select(F.col("id").alias(end), F.col("component").alias(name))
+        met = left.join(root("u", "x"), "u").join(root("v", "y"), "v").where("x <> y")
+        left = written(met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _roots(pointers: DataFrame) -> DataFrame:
+    """(id, component) with every pointer followed to its end; pointers never point to a larger id. Those at their end rest."""
+    done, active = None, pointers
+    while True:
+        known = active if done is None else done.unionByName(active)
+        step = active.join(known.select(F.col("id").alias("component"), F.col("component").alias("far")), "component").select("id", "far", (F.col("far") == F.col("component")).alias("end"))
+        step = written(step, "pointers")
+        ended = step.where("end").select("id", F.col("far").alias("component"))
+        done = ended if done is None else done.unionByName(ended)
+        active = step.where("not end").select("id", F.col("far").alias("component"))
+        if active.limit(1).count() == 0:
+            return done
