@@ -145,7 +145,7 @@ def format_vnd(col):
     return F.replace(F.format_number(col.cast("long"), 0), F.lit(","), F.lit("."))
 
 
-def price_after_discount(base, fees, percent=None, cash=None, on_total=None):
+def price_after_discount(base, fees, percent, cash, on_total):
     """Price after a percent or cash discount on tuition, or on tuition and fees; null where the discount is not valid."""
     total = base + fees
     basis = F.when(F.coalesce(on_total, F.lit(False)), total).otherwise(base)
