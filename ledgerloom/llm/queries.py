@@ -11,6 +11,7 @@ from .ngramjoin import op5_parity_sketch_join
 from .quality import op10_quality
 from .replytrees import OP7_SQL, op7_format_conversations
 from .secrets import op9_secret_ledger
+from .sql import OP2_SQL, OP5_SQL, OP8_SQL, OP9_SQL
 from .suffixdedup import op2_suffix_dedup
 
 QUERIES = {
@@ -27,6 +28,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_suffix_dedup": OP2_SQL,
+    "op5_parity_sketch_join": OP5_SQL,
+    "op8_decontaminate": OP8_SQL,
+    "op9_secret_ledger": OP9_SQL,
     "op3_license_sentences": OP3_SQL,
     "op7_format_conversations": OP7_SQL,
 }
