@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,10 @@ def written(df: DataFrame, name: str = "step", free: bool = False) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/ledgerloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if free:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 

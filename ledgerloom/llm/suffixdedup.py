@@ -32,7 +32,7 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _CODE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)  # a random number for each byte value
 _BASE = 0xD6E8FEB86659FD93
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 4 << 20
+_BLOCK = 2 << 20
 _POWERS: list[np.ndarray] = []
 
 
