@@ -94,6 +94,7 @@ def session_buffer(messages: DataFrame, n: int = 36) -> DataFrame:
 
 def trace_metrics_stream(traces: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, tenant_id, total, errors, mean_ms): dashboard figures by tumbling window; rows later than the watermark are dropped in a stream."""
+    traces = traces.withColumn("at", F.col("at").cast("timestamp")) if traces.isStreaming else traces  # watermarks want a time zone
     w = F.window("at", window)
     figures = traces.withWatermark("at", late).groupBy(w.alias("w"), "tenant_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "ERROR").alias("errors"), F.round(F.avg("latency_ms"), 3).alias("mean_ms"))
     return figures.select(F.col("w.start").alias("start"), "tenant_id", "total", "errors", "mean_ms")
