@@ -236,6 +236,27 @@ def test_fuzzy_lines(spark, rows):
     assert got == line_brute(some)
 
 
+@pytest.mark.parametrize("words", [5, 10, 20, 30, 50, 100])
+def test_fuzzy_lines_recall(spark, words):
+    """Against edit similarity alone: one letter, one word or a twentieth of the characters changed."""
+    r = random.Random(words)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(r.choice(letters) for _ in range(n))
+    rows = []
+    for i in range(120):
+        line = [word(r.randint(3, 8)) for _ in range(words)]
+        text, k = " ".join(line), r.randrange(words)
+        if i % 3 == 1 and words >= 20:
+            other = " ".join(line[:k] + [word(len(line[k]))] + line[k + 1 :])
+        else:
+            at = r.sample(range(len(text)), 1 if i % 3 != 2 else max(1, len(text) // 20))
+            other = "".join("0" if j in at else c for j, c in enumerate(text))
+        rows += [(i, text), (1000 + i, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {x.doc_id for x in fuzzylines.dropped_lines(docs).collect()}
+    assert all(i >= 1000 for i in gone) and len(gone) >= 114, f"{len(gone)} of 120"
+
+
 def test_fuzzy_lines_edges(edge, none):
     got = fuzzylines.dedup_lines(edge)
     assert got.columns[: len(edge.columns)] == edge.columns and fuzzylines.dedup_lines(none).count() == 0
