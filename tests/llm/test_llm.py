@@ -257,6 +257,11 @@ def test_fuzzy_lines_recall(spark, words):
     assert all(i >= 1000 for i in gone) and len(gone) >= 114, f"{len(gone)} of 120"
 
 
+def test_fuzzy_lines_short(spark):
+    docs = spark.createDataFrame([(1, "Read more\n\nfirst"), (2, "read  MORE \n\nsecond\nRead mare"), (3, "x\nRead more")], "doc_id long, text string")
+    assert {(x.doc_id, p) for x in fuzzylines.dropped_lines(docs).collect() for p in x.gone} == {(2, 0), (3, 1)}
+
+
 def test_fuzzy_lines_edges(edge, none):
     got = fuzzylines.dedup_lines(edge)
     assert got.columns[: len(edge.columns)] == edge.columns and fuzzylines.dedup_lines(none).count() == 0
