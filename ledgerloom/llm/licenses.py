@@ -1,8 +1,9 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-Texts are cut into sentences (at line breaks, and after . ! ? ; and white space), which are normalised: lower case, every run of other
+Texts are cut into sentences (at lines without a letter or digit, after lines of a copyright holder, and after . ! ? ; : and white space);
+a single line break is white space, and a sentence of several lines is tried whole and by line. Sentences are normalised: lower case, every run of other
 characters than letters and digits one space, years and copyright holders' lines aside. A sentence table maps known normalised
-sentences to identifiers; the table is fixed and small (its size is checked), so it is broadcast and no text is shuffled. Only the
+sentences to identifiers; one that is cut itself has an identifier for each piece, and rules ask for all of them. The table is fixed and small (its size is checked), so it is broadcast and no text is shuffled. Only the
 matched sentences, a few for each document, are grouped into the document's sequence of identifiers. Rules are ordered lists of
 identifiers; a rule is met where its identifiers follow one another among the document's known sentences. Rules are tried in
 their order, and a sentence that a rule has used is not used by a later one.
@@ -13,6 +14,8 @@ one another by text; a null id is an id; documents without a known sentence are
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +72,7 @@ RULES = (
     ("Unlicense", ("unlicense",)),
 )
 MOST_SENTENCES = 100_000
+SENTENCE_END = r"(?<=[.!?;:])[\x20\x09-\x0D]+"
 
 
 def normalised(sentence):
@@ -77,35 +81,48 @@ def normalised(sentence):
 
 
 def sentences_of(text):
-    # Texts without the marks of a longer sentence are cut at line breaks and at sentence ends alike.
-    return F.split(text, r"\n|(?<=[.!?;:])[\x20\x09-\x0D]+", -1)
+    # A line without a letter or digit is a cut, so one is put after a copyright holder's line.
+    text = F.regexp_replace(text, r"(?im)^[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*copyright[\x20\x09]*(?:\(c\)|©|[0-9])[^\n]*$", "$0\n")
+    return F.split(text, r"\n[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n|" + SENTENCE_END, -1)
+
+
+def pieces(sentence: str) -> list:
+    """A known sentence cut like the texts."""
+    return [p for p in re.split(SENTENCE_END, sentence) if re.search(r"[A-Za-z0-9]", p)]
+
+
+def piece_id(sid: str, k: int) -> str:
+    return f"{sid}+{k + 1}" if k else sid
 
 
 def known_sentences(spark, sentences: dict = SENTENCES) -> DataFrame:
     if len(sentences) > MOST_SENTENCES:
         raise ValueError(f"{len(sentences)} sentences are too many to broadcast; the bound is {MOST_SENTENCES}")
-    # A rule's sentence may hold ends of sentences itself ("version 2.0 (the ..."): it is cut like the texts, and its first piece names it.
-    return spark.createDataFrame(list(sentences.items()), "sid string, sentence string").select("sid", F.explode(F.filter(F.transform(sentences_of(F.col("sentence")), normalised), lambda s: s != "")).alias("norm"), "sentence").groupBy("norm").agg(F.min("sid").alias("sid"))
+    rows = [(piece_id(sid, k), piece) for sid, sentence in sentences.items() for k, piece in enumerate(pieces(sentence))]
+    return spark.createDataFrame(rows, "sid string, piece string").select("sid", normalised(F.col("piece")).alias("norm")).groupBy("norm").agg(F.min("sid").alias("sid"))
 
 
 def sentence_hits(docs: DataFrame, sentences: dict = SENTENCES, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, pos, sid): every sentence of every whole text that the table knows."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(sentences_of(F.col(text_col))).alias("pos", "sentence"))
-    rows = rows.select("doc_id", "text_key", "pos", normalised(F.col("sentence")).alias("norm")).where("norm <> ''")
+    rows = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.posexplode(sentences_of(F.col(text_col))).alias("place", "sentence"))
+    # The whole sentence first, then its lines where it has several.
+    forms = F.when(F.trim(F.col("sentence")).contains("\n"), F.concat(F.array("sentence"), F.split("sentence", "\n", -1))).otherwise(F.array("sentence"))
+    rows = rows.select("doc_id", "text_key", "place", F.posexplode(forms).alias("part", "form"), F.regexp_count("sentence", F.lit(r"(?m)^.*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F].*$")).alias("lines")).where("part = 0 or lines > 1")
+    rows = rows.select("doc_id", "text_key", (F.col("place").cast("long") * (1 << 31) + F.col("part")).alias("pos"), normalised(F.col("form")).alias("norm")).where("norm <> ''")
     return rows.join(F.broadcast(known_sentences(docs.sparkSession, sentences)), "norm").select("doc_id", "text_key", "pos", "sid")
 
 
-def match_rules(hits: DataFrame, rules: tuple = RULES) -> DataFrame:
+def match_rules(hits: DataFrame, rules: tuple = RULES, sentences: dict = SENTENCES) -> DataFrame:
     """(doc_id, n_sentences, sids, licenses): the sequence of known sentences and the licences whose rules it meets, each once, sorted."""
     by_doc = hits.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("text_key", "pos", "sid"))), lambda x: x["sid"]).alias("sids"))
     # ">a<>b<" is the sequence; what a rule uses becomes "|", so that later rules don't use it and don't reach across it.
     rest = F.concat(F.lit(">"), F.array_join("sids", "<>"), F.lit("<"))
     out, column = [], by_doc.withColumn("__rest", rest)
     for k, (name, sids) in enumerate(rules):
-        wanted = ">" + "<>".join(sids) + "<"
+        wanted = ">" + "<>".join(piece_id(s, n) for s in sids for n in range(len(pieces(sentences[s])))) + "<"
         out.append(F.when(F.col(f"__m{k}"), F.lit(name)))
         column = column.withColumn(f"__m{k}", F.col("__rest").contains(wanted)).withColumn("__rest", F.replace("__rest", F.lit(wanted), F.lit("|")))
-    return column.select("doc_id", F.size("sids").cast("long").alias("n_sentences"), F.array_join("sids", ",").alias("sids"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*out)))), ",").alias("licenses"))
+    return column.select("doc_id", F.size("sids").cast("long").alias("n_sentences"), F.regexp_replace(F.array_join("sids", ","), r"\+[0-9]+", "").alias("sids"), F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*out)))), ",").alias("licenses"))
 
 
 def op3_license_sentences(spark, sf_dir: str) -> DataFrame:

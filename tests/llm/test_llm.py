@@ -116,6 +116,25 @@ def test_license_rules(spark):
     assert licenses.match_rules(licenses.sentence_hits(docs.where("false"))).count() == 0
 
 
+def test_license_wrapped(spark):
+    import textwrap
+
+    s = licenses.SENTENCES
+    wrap = lambda *ids, mark="", between="\n\n": between.join(textwrap.fill(s.get(i, i), 60, initial_indent=mark, subsequent_indent=mark) for i in ids)
+    gpl2 = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License; either version 2\nof the License, or (at your option) any later version."
+    texts = {
+        "MIT": wrap("mit-short", "Copyright (c) 2020 Someone", "mit-grant", "mit-notice", "mit-as-is"),
+        "BSD-2-Clause": wrap("Copyright 2020 Someone", "bsd-grant", "bsd-source", "bsd-binary", mark="# ", between="\n"),
+        "BSD-3-Clause": wrap("bsd-grant", "bsd-source", "bsd-binary", "bsd-name", mark=" * ", between="\n *\n"),
+        "ISC": wrap("isc-grant"),
+        "Apache-2.0": wrap(s["apache-grant-the"] + "; " + s["apache-use"], "apache-copy", "http://www.apache.org/licenses/LICENSE-2.0", "apache-basis", "apache-see"),
+        "GPL-3.0-or-later": wrap("gpl-free", "gpl-hope"),
+        "": gpl2 + "\n\n" + wrap("gpl-hope"),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    assert {r.doc_id: r.licenses for r in licenses.match_rules(licenses.sentence_hits(docs)).collect()} == {k: k for k in texts}
+
+
 def test_license_edges(edge):
     assert licenses.match_rules(licenses.sentence_hits(edge)).count() == 0
 
