@@ -46,6 +46,15 @@ def written(df: DataFrame, name: str = "step", free: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of keys (some tens of bytes each), and no more, that a join may broadcast.
+MOST_BROADCAST = 500_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """``keys``, read from a written table, for a broadcast where they are counted to be few; as they are otherwise, so that both sides are shuffled."""
+    return F.broadcast(keys) if keys.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else keys
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)

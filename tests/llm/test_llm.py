@@ -195,64 +195,57 @@ def test_parity_sketch_bounds_difference():
         assert ngramjoin.distance(bands.sketch(u), bands.sketch(v)) <= len(np.setxor1d(u, v))
 
 
-def line_brute(rows, min_chars=15, bits=3, tenths=9):
-    """Lines to keep by comparing all pairs that share a block pair and a length class."""
-    import math
-
-    import xxhash
-
-    mask = (1 << 64) - 1
+def line_brute(rows, tenths=9):
+    """Lines that go if all pairs of lines of 15 characters or more with enough edit similarity are links, and lines that are equal."""
     norm = lambda s: re.sub(r"[ \t\n\x0b\f\r]+", " ", s.lower()).strip(" ")
-    h64 = lambda s: xxhash.xxh64_intdigest(s.encode(), 42)
     places = {}
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
-            if len(n := norm(line)) >= min_chars:
+            if n := norm(line):
                 places.setdefault(n, []).append((d, i))
 
-    def sim(n):
-        hs = [h64(w) for w in set(n.split(" "))]
-        return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
-
-    def lev(a, b):
+    def close(a, b):
+        most = max(len(a), len(b)) * (10 - tenths) // 10
+        if abs(len(a) - len(b)) > most:
+            return False
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             row, last = [i], row
             for j, y in enumerate(b, 1):
                 row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    names = list(places)
-    sims = [sim(n) for n in names]
-    root = list(range(len(names)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(names)):
-        for j in range(i):
-            lo, hi = sorted((len(names[i]), len(names[j])))
-            if ((sims[i] ^ sims[j]) & mask).bit_count() <= bits and lo * 10 >= hi * tenths and find(i) != find(j) and lev(names[i], names[j]) <= hi * (10 - tenths) // 10:
-                root[find(i)] = find(j)
-    assert math.inf > 0
+            if min(row) > most:
+                return False
+        return row[-1] <= most
+
+    names = sorted(places, key=len)
+    root = {n: n for n in names}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if len(b) * tenths > len(a) * 10 + 10:
+                break
+            if len(a) >= 15 and find(a) != find(b) and close(a, b):
+                root[find(b)] = find(a)
     groups = {}
-    for i, n in enumerate(names):
-        groups.setdefault(find(i), []).extend(places[n])
-    gone = set()
-    for g in groups.values():
-        gone |= set(g) - {min(g)}
-    return gone
+    for n in names:
+        groups.setdefault(find(n), []).extend(places[n])
+    return {p for g in groups.values() for p in set(g) - {min(g)}}
 
 
 def test_fuzzy_lines(spark, rows):
+    """Against all pairs: nothing else goes, and nearly all that should."""
     r = random.Random(9)
-    base = " ".join(f"word{r.randrange(500)}" for _ in range(70))
-    some = [(10_000 + i, base.replace(f" word{r.randrange(500)} ", " x ") + f" tail{i % 4}") for i in range(40)] + rows[:60]
+    base = " ".join(f"word{r.randrange(500)}" for _ in range(30))
+    some = [(10_000 + i, base.replace(f" word{r.randrange(500)} ", " x ") + f" tail{i % 4}") for i in range(20)] + [(d, (t or "")[:600]) for d, t in rows[:25]]
     docs = spark.createDataFrame(some, "doc_id long, text string")
     got = {(x.doc_id, p) for x in fuzzylines.dropped_lines(docs).collect() for p in x.gone}
-    assert got == line_brute(some)
+    want = line_brute(some)
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 19
 
 
 @pytest.mark.parametrize("words", [5, 10, 20, 30, 50, 100])
@@ -272,8 +265,11 @@ def test_fuzzy_lines_recall(spark, words):
             other = "".join("0" if j in at else c for j, c in enumerate(text))
         rows += [(i, text), (1000 + i, other)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    gone = {x.doc_id for x in fuzzylines.dropped_lines(docs).collect()}
+    gone = {x.doc_id for x in fuzzylines.dropped_lines(docs, thorough=True).collect()}
     assert all(i >= 1000 for i in gone) and len(gone) >= 114, f"{len(gone)} of 120"
+    # In 16 bands, without the scattered changes.
+    plain = {x.doc_id for x in fuzzylines.dropped_lines(docs.where("doc_id % 1000 % 3 < 2")).collect()}
+    assert all(i >= 1000 for i in plain) and len(plain) >= 76, f"{len(plain)} of 80"
 
 
 def test_fuzzy_lines_short(spark):
