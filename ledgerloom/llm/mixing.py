@@ -12,7 +12,7 @@ copies of its documents, from large to small: a document is flipped while that b
 Running sums are taken within hash buckets with offsets from the buckets' sums, so that no source has to fit in one task.
 
 Cases: a null text has size 0; a null source is a source of its own, the last; documents of size 0 take nothing; an empty table gives
-no rows; repeated rows count as documents of their own; other columns pass through untouched.
+no rows; repeated rows count as documents of their own; other columns pass through untouched, and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -82,6 +82,7 @@ def balance(docs: DataFrame, weights: tuple = WEIGHTS, ceiling: float = CEILING,
     Every source's taken words differ from its target by less than about one small document; copies never exceed ``ceiling``.
     The order of documents depends on their key and size alone, so reruns agree.
     """
+    docs = docs.drop("source_size", "target", "rate", "copies", "taken")
     targets = written(source_targets(docs, weights, ceiling), "targets").withColumnRenamed("source", "__source")
     targets = targets.withColumn("rate", newton_rate(F.col("source_size"), F.col("target")))
     most = int(ceiling)

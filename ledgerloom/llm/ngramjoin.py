@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected, table, written
+from .shared import connected, small, table, written
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _UPPER = bytes(range(65, 91))
@@ -133,8 +133,8 @@ def distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def set_table(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, node, sketch) for every row; ``node`` is null for empty sets."""
+def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(row_id, text_key, n, node, sketch) for every row; ``node`` is null for empty sets."""
 
     def batch(texts: pa.Array) -> pa.Array:
         words, bands, n, node, sketch = Words(), Bands(num, den), [], [], []
@@ -145,8 +145,8 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, key: str = "doc_id",
             sketch.append(bands.sketch(u) if len(u) else None)
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], ["n", "node", "sketch"])
 
-    made = F.arrow_udf(batch, "struct<n:long,node:long,sketch:binary>")(F.col(text_col))
-    return docs.select(F.col(key).alias("doc_id"), made.alias("s")).select("doc_id", "s.*")
+    made = F.arrow_udf(batch, "struct<n:long,node:long,sketch:binary>")(F.col("text"))
+    return docs.select("row_id", "text_key", made.alias("s")).select("row_id", "text_key", "s.*")
 
 
 def bucket_rows(docs: DataFrame, k: int, num: int, den: int, text_col: str = "text") -> DataFrame:
@@ -281,71 +281,123 @@ def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, num: int
         """Groups come sorted and one after another; none is larger than two blocks, so one group is held at a time."""
         bands, held = Bands(num, den), None
         for batch in batches:
-            found: list = []
             rows = batch if held is None else pa.concat_batches([held, batch])
             ends = np.flatnonzero(np.any([np.diff(rows.column(c).to_numpy()) != 0 for c in range(3)], axis=0)) + 1 if rows.num_rows else []
             start = 0
             for end in ends:
-                found += _cross(rows.slice(start, end - start), bands)
+                yield from _cross(rows.slice(start, end - start), bands)
                 start = end
             held = rows.slice(start)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
         if held is not None and held.num_rows:
-            found = _cross(held, bands)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+            yield from _cross(held, bands)
 
     grouped = rows.select("bucket", "i", "j", "own", "node", "component", "n", "sketch").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return grouped.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _cross(rows: pa.RecordBatch, bands: Bands) -> list[tuple[int, int]]:
-    """Node pairs of one pair of blocks that are in different groups so far and whose sketches allow a link."""
+def _cross(rows: pa.RecordBatch, bands: Bands, most: int = 100_000):
+    """Batches (a, b) of the node pairs of one pair of blocks that are in different groups so far and whose sizes and sketches allow a link.
+
+    Rows are taken in the order of their sizes, so that a row's partners by size are one run. Sketches get wider with size: a
+    pair is compared at its smaller set's width, to which the other one is folded.
+    """
     i, j, own, node, group, n = (rows.column(c).to_numpy() for c in (1, 2, 3, 4, 5, 6))
     one = i[0] == j[0]
     if len(node) < 2 or (one and len(node) == 2 and group[0] == group[1]):
-        return []
+        return
     raw = [np.frombuffer(s.as_buffer(), np.uint8) for s in rows.column(7)]
-    width = min(map(len, raw))
-    bits = np.stack([fold(x, 8 * width) if len(x) > width else x for x in raw])
-    left = np.arange(len(node)) if one else np.flatnonzero(own == i[0])
-    right = left if one else np.flatnonzero(own == j[0])
-    found = []
-    for r in left:
-        other = right[(group[right] != group[r]) & ((node[right] > node[r]) if one else True)]
-        if len(other):
-            far = np.bitwise_count(bits[other] ^ bits[r]).sum(axis=1, dtype=np.int64)
-            other = other[far <= (n[other] + n[r]) * (bands.den - bands.num) // (bands.den + bands.num)]
-            found += [(min(node[r], node[x]), max(node[r], node[x])) for x in other]
-    return found
-
-
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: its set's size and the smallest id reachable over links of num/den or more."""
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = docs.withColumn("row_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    made = written(set_table(keyed, k, num, den, "row_id"), "sets").withColumnRenamed("doc_id", "row_id")
+    size = np.array([len(x) for x in raw])
+    order = np.lexsort((node, n, size))
+    held: list = []
+    count = 0
+    for width in np.unique(size):
+        # Partners of this width's sets that are as large or larger, at this width.
+        most_n = int(n[size == width].max()) * bands.den // bands.num
+        rank = order[(size[order] >= width) & (n[order] <= most_n)]
+        rank = rank[np.argsort(n[rank], kind="stable")]
+        bits = np.stack([fold(raw[x], 8 * width) if size[x] > width else raw[x] for x in rank])
+        sizes = n[rank]
+        for k in np.flatnonzero(size[rank] == width):
+            r = rank[k]
+            stop = np.searchsorted(sizes, sizes[k] * bands.den // bands.num, "right")
+            # Of equal width, later ones only; wider ones always, for they don't come round to this row.
+            other = np.arange(np.searchsorted(sizes, sizes[k], "left"), stop)
+            x = rank[other]
+            ok = (group[x] != group[r]) & ((other > k) | (size[x] > width))
+            if not one:
+                ok &= own[x] != own[r]
+            other = other[ok]
+            if not len(other):
+                continue
+            far = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            x = rank[other[far <= (sizes[other] + sizes[k]) * (bands.den - bands.num) // (bands.den + bands.num)]]
+            if len(x):
+                held.append(np.stack([np.minimum(node[x], node[r]), np.maximum(node[x], node[r])]))
+                count += len(x)
+            if count >= most:
+                yield _two(held)
+                held, count = [], 0
+    if held:
+        yield _two(held)
+
+
+def _two(held: list) -> pa.RecordBatch:
+    a, b = np.concatenate(held, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(row_id, text_key, n, component) for every row of ``docs`` (row_id, text): ``component`` is a number for each group, null for empty sets."""
+    made = written(set_table(docs.withColumn("text_key", F.xxhash64("text")), k, num, den), "sets")
     nodes = written(made.where("node is not null").groupBy("node").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     scanned = bucket_rows(docs, k, num, den).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_scan_buckets, "kind byte, a long, b long")
     scanned = written(scanned, "buckets")
     stars = scanned.where("kind = 0").select("a", "b").distinct()
-    links = written(verified(written(near_enough(stars, nodes, num, den), "near"), keyed, nodes, k, num, den), "links")
+    links = written(verified(written(near_enough(stars, nodes, num, den), "near"), docs, nodes, k, num, den), "links")
     labels = connected(links)
     more = written(open_pairs(scanned.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("node")), labels, nodes, num, den), "open")
     if more.limit(1).count():
-        late = written(verified(more, keyed, nodes, k, num, den), "late")
+        late = written(verified(more, docs, nodes, k, num, den), "late")
         labels = connected(links.unionByName(late))
-    told = made.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = keyed.select("row_id", "doc_id").distinct()
-    told = told.join(ids, "row_id")
+    told = made.join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+    return told.select("row_id", "text_key", "n", F.coalesce("component", "node").alias("component"))
+
+
+def _keyed(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(row_id, doc_id, text): ``row_id`` is the id as a string that no null matches."""
+    docs = docs.select(F.col(key).alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(_row_id(F.col("doc_id")).alias("row_id"), "doc_id", "text")
+
+
+def _row_id(key):
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
+
+
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: its set's size and the smallest id reachable over links of num/den or more."""
+    keyed = _keyed(docs, key, text_col)
+    told = grouped_rows(keyed, k, num, den).join(keyed.select("row_id", "doc_id").distinct(), "row_id")
     least = told.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return told.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first document (smallest id) of every group of near copies, with the columns of ``docs``; empty texts stay."""
-    found = components(docs, k, num, den, key, text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of every group of near copies, with the columns of ``docs``: the smallest id's (null last), of its texts that of the least hash,
+    and of rows equal in both the least one. Rows without shingles all stay."""
+    keyed = _keyed(docs, key, text_col)
+    told = grouped_rows(keyed, k, num, den).where("component is not null").groupBy("component", "row_id", "text_key").agg(F.count("*").alias("times"))
+    told = written(told.join(keyed.select("row_id", "doc_id").distinct(), "row_id"), "rows")
+    first = told.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"))
+    told = written(told.join(first, "component").select("row_id", "text_key", "times", (F.struct("doc_id", "text_key").eqNullSafe(F.struct("first.doc_id", "first.text_key"))).alias("stays")), "stays")
+    own = [_row_id(F.col(f"`{key}`")).alias("__row"), F.xxhash64(F.col(f"`{text_col}`")).alias("__text")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__r"), *own)
+    picked = lambda where: small(told.where(where).select(F.col("row_id").alias("__row"), F.col("text_key").alias("__text")))
+    left = rows.join(picked("not stays"), ["__row", "__text"], "left_anti")
+    if told.where("stays and times > 1").limit(1).count():
+        many = picked("stays and times > 1")
+        once = left.join(many, ["__row", "__text"], "left_semi").groupBy("__row", "__text").agg(F.min("__r").alias("__r"))
+        left = left.join(many, ["__row", "__text"], "left_anti").select("__r").unionByName(once.select("__r"))
+    return left.select("__r.*")
 
 
 def op5_parity_sketch_join(spark, sf_dir: str) -> DataFrame:

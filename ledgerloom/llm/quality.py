@@ -1,35 +1,39 @@
 """Quality classifier: supervised subword embeddings trained by numpy stochastic gradient descent.
 
-Every word of a text gives itself and its character n-grams (with word ends marked) as features, hashed into a fixed number of buckets;
-a word that repeats the one before it also gives the word bigram of equal words, which has one bucket for all words.
-A document is the average of its features' learned vectors, with ``blank`` zero vectors added so that a few words don't decide alone;
+Every word of a text gives itself and its character n-grams (over UTF-8 bytes, word ends marked) as features, hashed into a fixed number of
+buckets; a word that repeats the one before it also gives the word bigram of equal words, which has one bucket for all words. A document is the average of its features' learned vectors, with ``blank`` zero vectors added so that a few words don't decide alone;
 a softmax over two classes gives its score, the probability of label 1. Whole texts are read, in training too.
 
-Training runs on a bounded sample of the labelled rows: the ``max_train`` smallest by a hash of the id among the rows in the learning fold. Only these
-rows reach the driver. Scoring is a column over all rows: at inference the two class weights of a bucket collapse into one number,
-so the broadcast model is ``buckets`` floats, whatever the input.
+Training runs on a bounded sample of the labelled rows: the ``max_train`` smallest by a hash of the id among the rows in the learning fold, as far
+as their texts have no more than ``max_train_chars`` characters together. Only these rows reach the driver. Scoring is a column over all rows: at
+inference the two class weights of a bucket collapse into one number, so the broadcast model is ``buckets`` floats, whatever the input. A batch's
+distinct words are scored once, by array operations over their bytes, and documents add up their words' scores.
 
 Cases: null and empty texts have no features and score 0.5, undecided; null ids count as not held out; labels that are null or
-contradict each other are left out; with no labels, or one class only, every score is the smoothed share of label 1; extra columns pass through.
+contradict each other are left out; of rows that share an id the least text is learned; with no labels, or one class only, every score is the
+smoothed share of label 1; extra columns pass through, and the score replaces a column of its name.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import table
 
-WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
-END_OF_WORD = b"\x00"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
+#: Its inverse modulo 2**64.
+_BACK = pow(_BASE, -1, 1 << 64)
 #: The bucket (modulo their number) of the bigram of two equal words.
 TWICE = 1_000_003
+#: Bytes of text that a task splits into words at once.
+SLICE = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -40,6 +44,7 @@ class Params:
     epochs: int = 4
     rate: float = 0.5
     max_train: int = 4000
+    max_train_chars: int = 64_000_000
     seed: int = 11
     threshold: float = 0.3
     blank: int = 80
@@ -52,74 +57,135 @@ class Model:
     params: Params
     weight: np.ndarray
     bias: float
-    cache: dict = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {"params": self.params, "weight": self.weight, "bias": self.bias, "cache": {}}
-
-    def score(self, raw: bytes) -> float:
-        """Probability of label 1. Sums and counts of words travel together in a complex number."""
-        words = WORDS.findall(raw)
-        cache = self.cache
-        if len(cache) > 200_000:
-            cache.clear()
-        total, before, again = 0j, None, 0
-        for w in words:
-            if w == before:
-                again += 1
-            before = w
-            got = cache.get(w)
-            if got is None:
-                ids = features(w, self.params)
-                got = cache[w] = complex(float(self.weight[ids].sum()), len(ids))
-            total += got
-        z = self.bias + (total.real + again * float(self.weight[TWICE % self.params.buckets])) / (total.imag + again + self.params.blank)
-        return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
-
-
-def features(word: bytes, p: Params) -> np.ndarray:
-    """Buckets of the word and of its n-grams over bytes; the word's own is its hash with the end mark on both sides."""
-    w = END_OF_WORD + word + END_OF_WORD
-    if len(word) > 200:  # a long run without a space: its grams say it all, and the word itself never comes again
-        w = word
-    out = [zlib.crc32(w) % p.buckets]
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Probability of label 1 for each text."""
+        out = np.empty(len(texts))
+        for a, b in _slices(texts):
+            ends, codes, words = split_words(texts.slice(a, b - a))
+            total, count = word_sums(words, self.weight, self.params)
+            again = _by_document(repeats(codes, ends), ends)
+            z = _by_document(total[codes], ends) + again * self.weight[TWICE % self.params.buckets]
+            z /= _by_document(count[codes], ends) + again + self.params.blank
+            out[a:b] = 1 / (1 + np.exp(-np.clip(self.bias + z, -50, 50)))
+        return out
+
+
+def _slices(texts: pa.Array):
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= SLICE:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _by_document(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])[ends])
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each text's words start in the list of all words (and the end), the words' numbers among the distinct ones, and those.
+
+    Words are runs of anything but the six ASCII white-space characters; the empty strings that splitting leaves at the ends are words
+    without features.
+    """
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    ends = parts.offsets.to_numpy()
+    found = parts.flatten().dictionary_encode()
+    return ends - ends[0], found.indices.to_numpy(), found.dictionary
+
+
+def repeats(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """1 for every word that equals the one before it in its text."""
+    same = np.zeros(len(codes))
+    same[1:] = codes[1:] == codes[:-1]
+    same[ends[:-1][ends[:-1] < len(codes)]] = 0
+    return same
+
+
+class _Padded:
+    """Distinct words laid out as 0 word 0 word ... 0: ``at`` is each word's first zero, ``size`` its length."""
+
+    def __init__(self, words: pa.Array):
+        raw = words.cast(pa.large_binary())
+        buffers = raw.buffers()
+        ends = np.frombuffer(buffers[1], np.int64, len(raw) + 1, raw.offset * 8)
+        data = np.frombuffer(buffers[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.size = np.diff(ends)
+        self.at = np.concatenate([[0], np.cumsum(self.size + 1)])[:-1].astype(np.int64)
+        self.bytes = np.zeros(len(data) + len(raw) + 1, np.uint8)
+        self.bytes[np.arange(len(data)) + np.repeat(np.arange(1, len(raw) + 1), self.size)] = data
+
+    def grams(self, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of all n-byte strings, and for each word the first of its own and how many they are; single bytes leave the zeros out."""
+        wide = self.bytes.astype(np.uint64)
+        u = np.full(max(0, len(wide) - n + 1), n, np.uint64)
+        for i in range(n):
+            u = (u << np.uint64(8)) | wide[i : i + len(u)]
+        inner = n == 1
+        start, count = self.at + inner, np.maximum(0, self.size + (0 if inner else 3 - n))
+        return _bucket(u, buckets), start, np.where(self.size > 0, count, 0)
+
+    def whole(self, buckets: int) -> np.ndarray:
+        """Each word's own bucket: a polynomial of its bytes."""
+        wide = self.bytes.astype(np.uint64) + np.uint64(1)
+        wide[self.at] = 0
+        wide[-1] = 0
+        power = np.cumprod(np.full(len(wide), _BASE, np.uint64))
+        back = np.cumprod(np.full(len(wide), _BACK, np.uint64))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * power)])
+        return _bucket((total[self.at + self.size + 1] - total[self.at]) * back[self.at], buckets)
+
+
+def _bucket(u: np.ndarray, buckets: int) -> np.ndarray:
+    u = (u ^ (u >> np.uint64(29))) * _SPREAD
+    return ((u ^ (u >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+
+def word_sums(words: pa.Array, weight: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct word the sum of its features' weights and their number."""
+    padded = _Padded(words)
+    total = np.where(padded.size > 0, weight[padded.whole(p.buckets)], 0.0)
+    count = (padded.size > 0).astype(np.float64)
     for n in p.grams:
-        out += [zlib.crc32(w[i : i + n], n) % p.buckets for i in range(len(w) - n + 1)]
-    return np.array(out, np.int32)
+        ids, start, many = padded.grams(n, p.buckets)
+        sums = np.concatenate([[0.0], np.cumsum(weight[ids])])
+        start = np.minimum(start, len(ids))
+        total += sums[start + many] - sums[start]
+        count += many
+    return total, count
 
 
-def document(raw: bytes, p: Params, cache: dict) -> tuple[np.ndarray, np.ndarray]:
+def document(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares of its features."""
-    parts = []
-    before, again = None, 0
-    for w in WORDS.findall(raw):
-        again += w == before
-        before = w
-        got = cache.get(w)
-        if got is None:
-            if len(cache) > 50_000:
-                cache.clear()
-            got = cache[w] = features(w, p)
-        parts.append(got)
-    if not parts:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    ids = np.concatenate([*parts, np.full(again, TWICE % p.buckets, np.int32)])
-    u, n = np.unique(ids, return_counts=True)
-    return u, (n / (len(ids) + p.blank)).astype(np.float32)
-
-
-def train(rows: list[tuple[bytes, int]], p: Params = Params()) -> Model:
-    """``rows``: (UTF-8 text, label). Classes weigh the same, so that a rare class is learned as well."""
+    ends, codes, words = split_words(pa.array([text], pa.string()))
+    padded, times = _Padded(words), np.bincount(codes, minlength=len(words))
+    ids, of = [padded.whole(p.buckets)[padded.size > 0]], [np.flatnonzero(padded.size > 0)]
+    for n in p.grams:
+        found, start, many = padded.grams(n, p.buckets)
+        word = np.repeat(np.arange(len(words)), many)
+        ids.append(found[np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)])
+        of.append(word)
+    again = int(repeats(codes, ends).sum())
+    ids = np.concatenate([*ids, np.full(min(again, 1), TWICE % p.buckets)])
+    weight = np.concatenate([times[np.concatenate(of)], np.full(min(again, 1), again)]).astype(np.float64)
+    u, where = np.unique(ids, return_inverse=True)
+    return u, (np.bincount(where, weight, len(u)) / (weight.sum() + p.blank)).astype(np.float32)
+
+
+def train(rows: list[tuple[str, int]], p: Params = Params()) -> Model:
+    """``rows``: (text, label). Classes weigh the same, so that a rare class is learned as well."""
     ones = sum(y for _, y in rows)
     if not rows or ones in (0, len(rows)):
         return Model(p, np.zeros(p.buckets), float(np.log((ones + 1) / (len(rows) - ones + 1))))
     rng = np.random.default_rng(p.seed)
     vectors = rng.uniform(-1 / p.dims, 1 / p.dims, (p.buckets, p.dims)).astype(np.float32)
     out = np.zeros((2, p.dims), np.float32)
-    cache: dict = {}
-    docs = []
-    for raw, y in rows:
-        docs.append((*document(raw, p, cache), y))
+    docs = [(*document(text, p), y) for text, y in rows]
     share = {1: len(rows) / (2 * ones), 0: len(rows) / (2 * (len(rows) - ones))}
     steps, done = p.epochs * len(docs), 0
     for _ in range(p.epochs):
@@ -144,13 +210,14 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text_col: str = "text", p: Params = Params()) -> list[tuple[bytes, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text_col: str = "text", p: Params = Params()) -> list[tuple[str, int]]:
     """The bounded sample: ids are chosen among the labels first, so texts are read for at most ``max_train`` rows, without a shuffle of texts."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("__y")).where("y = __y")
-    chosen = known.where(~held_out(F.col(key))).orderBy(F.xxhash64(key), key).limit(p.max_train).select(key, "y")
-    rows = docs.select(key, F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(chosen), key)
-    found = {r[0]: (r[1], r[2]) for r in rows.select(key, "t", "y").collect()}  # repeated rows of an id count once
-    return [(found[k][0].encode("utf-8", "surrogatepass"), int(found[k][1])) for k in sorted(found)]
+    chosen = known.where(~held_out(F.col(key))).orderBy(F.xxhash64(key), key).limit(p.max_train).select(F.col(key).alias("__id"), "y")
+    rows = docs.select(F.col(key).alias("__id"), F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(chosen), "__id")
+    least = rows.groupBy("__id", "y").agg(F.min("t").alias("t"))
+    held = F.sum(F.length("t").cast("long")).over(Window.orderBy(F.xxhash64("__id"), "__id"))  # max_train rows at most
+    return [(r[1], int(r[2])) for r in least.select("__id", "t", "y", held.alias("held")).where(F.col("held") <= p.max_train_chars).orderBy("__id").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", **how) -> Model:
@@ -161,8 +228,7 @@ def score_column(model: Model, text, spark):
     shared = spark.sparkContext.broadcast(model)
 
     def batch(texts: pa.Array) -> pa.Array:
-        m = shared.value
-        return pa.array([m.score(x.as_py() or b"") for x in texts.cast(pa.binary())], pa.float64())
+        return pa.array(shared.value.scores(texts), pa.float64())
 
     return F.arrow_udf(batch, "double")(text)
 
@@ -182,3 +248,28 @@ def op10_quality(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= Params.threshold).cast("int").alias("predicted"))
+
+
+def brute_force(text: str | None, model: Model) -> float:
+    """The score of one text, word by word and n-gram by n-gram; for tests."""
+    p, m = model.params, (1 << 64) - 1
+
+    def weight(u: int) -> float:
+        u = ((u ^ (u >> 29)) * int(_SPREAD)) & m
+        return float(model.weight[(u ^ (u >> 32)) % p.buckets])
+
+    total, count, before = 0.0, 0, None
+    for word in (text or "").encode().split():
+        if word == before:
+            total += float(model.weight[TWICE % p.buckets])
+            count += 1
+        before = word
+        padded = b"\0" + word + b"\0"
+        total += weight(sum((b + 1) * pow(_BASE, i + 1, 1 << 64) for i, b in enumerate(word)) & m)
+        count += 1
+        for n in p.grams:
+            inside = word if n == 1 else padded
+            for i in range(len(inside) - n + 1):
+                total += weight(int.from_bytes(inside[i : i + n], "big") | n << 8 * n)
+                count += 1
+    return float(1 / (1 + np.exp(-np.clip(model.bias + total / (count + p.blank), -50, 50))))
