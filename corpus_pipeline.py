@@ -6,7 +6,7 @@ All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, fuzzylines, mixing, ngramjoin, quality
@@ -38,11 +38,22 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document of the mix with its copies; those that the mix takes no copy of stay out.
 
-    The copies are worked out without the texts; a shuffle by doc_id brings them together once.
+    The copies are worked out without the texts; a shuffle by id, text hash and source brings them together once. Rows that share all three are
+    numbered on both sides and matched by number.
     """
-    sizes = written(mixing.sized(docs).select("doc_id", "source", "size"), "sizes")
-    mixed = mixing.balance(sizes).where("copies > 0").select("doc_id", "source_size", "target", "copies", "size", "taken").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "__id")
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+    key, results = ["__id", "__text", "__source"], ["size", "source_size", "target", "copies", "taken"]
+    keyed = docs.withColumns({"__id": F.struct("doc_id"), "__text": F.xxhash64("text"), "__source": F.struct("source")})
+    mixed = mixing.balance(written(mixing.sized(keyed).select(*key, "doc_id", "source", "size"), "sizes")).where("copies > 0")
+    mixed = written(mixed.select(*key, *results), "mix")
+    rows = mixed.groupBy(*key).agg(F.first(F.struct(*results)).alias("m"), F.count("*").alias("n"))
+    single = keyed.join(rows.where("n = 1").select(*key, "m.*"), key).select(*docs.columns, *results)
+    many = written(rows.where("n > 1").select(*key), "repeated")
+    if many.limit(1).count() == 0:
+        return single
+    number = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    left = keyed.join(many, key, "left_semi").withColumn("__n", number([F.col(c) for c in docs.columns]))
+    right = mixed.join(many, key, "left_semi").withColumn("__n", number([F.col("copies").desc()]))
+    return single.unionByName(left.join(right, [*key, "__n"]).select(*docs.columns, *results))
 
 
 STAGES = [
