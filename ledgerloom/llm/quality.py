@@ -33,7 +33,7 @@ _BACK = pow(_BASE, -1, 1 << 64)
 #: The bucket (modulo their number) of the bigram of two equal words.
 TWICE = 1_000_003
 #: Bytes of text that a task splits into words at once.
-SLICE = 8 << 20
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
