@@ -41,8 +41,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The copies are worked out without the texts; a shuffle by id, text hash and source brings them together once. Rows that share all three are
     numbered on both sides and matched by number.
     """
-    key, results = ["__id", "__text", "__source"], ["size", "source_size", "target", "copies", "taken"]
-    keyed = docs.withColumns({"__id": F.struct("doc_id"), "__text": F.xxhash64("text"), "__source": F.struct("source")})
+    key, results = ["__row_id", "__row_text", "__row_source"], ["size", "source_size", "target", "copies", "taken"]
+    keyed = docs.withColumns({"__row_id": F.struct("doc_id"), "__row_text": F.xxhash64("text"), "__row_source": F.struct("source")})
     mixed = mixing.balance(written(mixing.sized(keyed).select(*key, "doc_id", "source", "size"), "sizes")).where("copies > 0")
     mixed = written(mixed.select(*key, *results), "mix")
     rows = mixed.groupBy(*key).agg(F.first(F.struct(*results)).alias("m"), F.count("*").alias("n"))
