@@ -50,10 +50,10 @@ def top_sections(scored: DataFrame, k: int = 6) -> DataFrame:
     return scored.where("score > 0").withColumn("rank", best).where(F.col("rank") <= k)
 
 
-def general_sections(sections: DataFrame, used: DataFrame, most: int = 10) -> DataFrame:
-    """Sections of the general kind that no entity uses, the first ``most`` of each document."""
-    free = sections.join(used.select("doc", "idx").distinct(), ["doc", "idx"], "left_anti").where(section_kind(F.col("heading")) == "general")
-    return free.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("idx"))).where(F.col("rank") <= most)
+def general_sections(sections: DataFrame, used: DataFrame) -> DataFrame:
+    """Sections of the general kind with a body that no entity uses, numbered in each document."""
+    free = sections.join(used.select("doc", "idx").distinct(), ["doc", "idx"], "left_anti").where((section_kind(F.col("heading")) == "general") & (F.trim("body") != ""))
+    return free.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("idx")))
 
 
 def refine_fees(df: DataFrame, least: int = 1_000_000) -> DataFrame:

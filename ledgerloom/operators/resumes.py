@@ -62,9 +62,18 @@ def ai_flags(replies: DataFrame, reply: str = "reply") -> DataFrame:
     return replies.withColumn("is_ai", F.upper(reply).contains("TRUE"))
 
 
-def batch_inputs(df: DataFrame, order: str, size: int = 5) -> DataFrame:
-    """``df`` with ``batch`` and ``place`` in it, in the order of a unique, dense number from 0."""
-    return df.withColumn("batch", F.floor(F.col(order) / size).cast("long")).withColumn("place", (F.col(order) % size).cast("long"))
+def batch_inputs(df: DataFrame, order: str, size: int = 5, parts: int = 64) -> DataFrame:
+    """``df`` with ``batch`` and ``place`` in it, by position in the order of a unique ``order`` column.
+
+    Rows are numbered within ranges of the order, and the ranges' counts (``parts`` rows) give what comes before each, so that no task sees all rows.
+    """
+    bounds = df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000).alias("b")).select(F.array_distinct("b").alias("__bounds"))
+    ranged = df.join(F.broadcast(bounds)).withColumn("__part", F.coalesce(F.size(F.filter("__bounds", lambda x: x < F.col(order))), F.lit(0))).drop("__bounds")
+    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    at = F.col("__before") + F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    numbered = ranged.join(F.broadcast(before), "__part").withColumn("__at", at)
+    return numbered.withColumn("batch", F.floor(F.col("__at") / size).cast("long")).withColumn("place", (F.col("__at") % size).cast("long")).drop("__part", "__before", "__at")
 
 
 def complete_batch(inputs: DataFrame, scored: DataFrame, key: str = "id") -> DataFrame:

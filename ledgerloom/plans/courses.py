@@ -56,7 +56,7 @@ def top_sections(spark, d):
     return ops.top_sections(ops.score_entity_sections(_entities(s), s))
 
 
-@query("general_sections", SECTIONS + f", k as (select page_id as doc, idx, {NORM.format('heading')} as n from sc where idx % 2 = 0), g as (select doc, idx, cast(row_number() over (partition by doc order by idx) as int) as rank from k where not ({_contains_any('n', ops.TUITION_WORDS)} or {_contains_any('n', ops.SCHEDULE_WORDS)} or {_contains_any('n', ops.POLICY_WORDS)})) select * from g where rank <= 10")
+@query("general_sections", SECTIONS + f", k as (select page_id as doc, idx, {NORM.format('heading')} as n from sc where idx % 2 = 0 and body <> ''), g as (select doc, idx, cast(row_number() over (partition by doc order by idx) as int) as rank from k where not ({_contains_any('n', ops.TUITION_WORDS)} or {_contains_any('n', ops.SCHEDULE_WORDS)} or {_contains_any('n', ops.POLICY_WORDS)})) select * from g")
 def general_sections(spark, d):
     s = _sections(spark, d)
     return ops.general_sections(s, s.where("idx % 2 = 1")).select("doc", "idx", "rank")

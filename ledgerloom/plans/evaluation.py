@@ -70,7 +70,7 @@ def ai_flags(spark, d):
     return rs.ai_flags(replies).join(_docs(spark, d).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.round(F.avg(F.col("is_ai").cast("double")), 6).alias("share"))
 
 
-@query("batch_inputs", "select doc_id // 5 as batch, count(*) as n, cast(sum(doc_id % 5) as bigint) as places from documents group by 1")
+@query("batch_inputs", "select cast(p // 5 as bigint) as batch, count(*) as n, cast(sum(p % 5) as bigint) as places from (select row_number() over (order by doc_id) - 1 as p from documents) group by 1")
 def batch_inputs(spark, d):
     return rs.batch_inputs(_docs(spark, d), "doc_id").groupBy("batch").agg(F.count("*").alias("n"), F.sum("place").alias("places"))
 
@@ -97,13 +97,13 @@ def validate_annotations(spark, d):
     return kept.select("doc_id", F.size("notes").alias("n"), F.concat(first, F.lit("|"), second).alias("kept"))
 
 
-QA = "q as (select item_id, 's' || (item_id % 4) as tenant_id, case when item_id % 3 > 0 then 'multi' end as query_type, text as question, case when item_id % 7 > 0 then left(text, 60) end as answer from benchmark)"
+QA = "q as (select item_id, 's' || (item_id % 4) as tenant_id, case when item_id % 3 > 0 then 'multi' end as query_type, text as question, case when item_id % 7 > 0 then text end as answer from benchmark)"
 
 
 @query("coerce_qa", f"with {QA} select item_id, tenant_id, coalesce(query_type, 'factual') as query_type, tenant_id || '-' || lpad(cast(row_number() over (partition by tenant_id order by item_id) as varchar), 4, '0') as query_id from q where trim(question) <> '' and trim(coalesce(answer, '')) <> ''")
 def coerce_qa(spark, d):
     i = F.col("item_id")
-    rows = table(spark, d, "benchmark").select(i, F.concat(F.lit("s"), i % 4).alias("tenant_id"), F.when(i % 3 > 0, "multi").alias("query_type"), F.col("text").alias("question"), F.when(i % 7 > 0, F.substring("text", 1, 60)).alias("answer"), F.array(F.lit(" "), F.lit("point")).alias("keypoints"))
+    rows = table(spark, d, "benchmark").select(i, F.concat(F.lit("s"), i % 4).alias("tenant_id"), F.when(i % 3 > 0, "multi").alias("query_type"), F.col("text").alias("question"), F.when(i % 7 > 0, F.col("text")).alias("answer"), F.array(F.lit(" "), F.lit("point")).alias("keypoints"))
     return ev.add_query_ids(ev.coerce_qa(rows), "tenant_id", "item_id").select("item_id", "tenant_id", "query_type", "query_id")
 
 

@@ -37,9 +37,9 @@ def scanned_docs(spark, d):
     return ops.scanned_docs(_pages(spark, d), 500)
 
 
-@query("best_extraction", "select doc_id, case when length(trim(left(text, 120))) > 100 then trim(left(text, 120)) when length(trim(lang)) > 100 then trim(lang) when trim(left(text, 120)) <> '' then trim(left(text, 120)) else trim(lang) end as best from documents")
+@query("best_extraction", "select doc_id, case when length(trim(text)) > 100 then trim(text) when length(trim(lang)) > 100 then trim(lang) when trim(text) <> '' then trim(text) else trim(lang) end as best from documents")
 def best_extraction(spark, d):
-    return table(spark, d, "documents").select("doc_id", ops.best_extraction(F.substring("text", 1, 120), F.col("lang")).alias("best"))
+    return table(spark, d, "documents").select("doc_id", ops.best_extraction(F.col("text"), F.col("lang")).alias("best"))
 
 
 @query("looks_like_markdown", f"with {MD} select page_id, regexp_matches(text, '(?m)^#{{1,6}} \\S') or contains(text, chr(10) || '- ') or contains(text, chr(10) || '* ') or contains(text, '|') as markdown from md")
@@ -96,11 +96,11 @@ def attach_metadata(spark, d):
     return ops.attach_metadata(_chunks(spark, d).select("doc_id", "chunk"), table(spark, d, "labels"), "doc_id")
 
 
-@query("merge_resume_metadata", "with f as (select doc_id as resume_id, toxic = 1 as is_ai from labels), e as (select doc_id as resume_id, case when doc_id % 5 = 0 then '' else source end as skills, doc_id % 30 as years from documents where doc_id % 2 = 0) select resume_id, is_ai, case when skills <> '' then skills end as skills, years from f full outer join e using (resume_id)")
+@query("merge_resume_metadata", "with f as (select doc_id as resume_id, toxic = 1 as is_ai from labels), e as (select doc_id as resume_id, case when doc_id % 5 = 0 then '' else source end as skills, doc_id % 30 as years from documents) select resume_id, is_ai, case when skills <> '' then skills end as skills, years from f full outer join e using (resume_id)")
 def merge_resume_metadata(spark, d):
     i = F.col("doc_id")
     flags = table(spark, d, "labels").select(i.alias("resume_id"), (F.col("toxic") == 1).alias("is_ai"))
-    entities = table(spark, d, "documents").where(i % 2 == 0).select(i.alias("resume_id"), F.when(i % 5 == 0, "").otherwise(F.col("source")).alias("skills"), (i % 30).alias("years"))
+    entities = table(spark, d, "documents").select(i.alias("resume_id"), F.when(i % 5 == 0, "").otherwise(F.col("source")).alias("skills"), (i % 30).alias("years"))
     return ops.merge_resume_metadata(flags, entities)
 
 

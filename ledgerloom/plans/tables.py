@@ -35,10 +35,9 @@ def flatten_nodes_for_upload(spark, d):
     return nodes.flatten_nodes_for_upload(rows)
 
 
-@query("read_testset", "select item_id, '- ' || trim(left(text, 20)) || chr(10) || '- second' as grading_notes from benchmark where item_id % 3 > 0")
+@query("read_testset", "select item_id, '- ' || trim(text) || chr(10) || '- second' as grading_notes from benchmark")
 def read_testset(spark, d):
-    i = F.col("item_id")
-    rows = table(spark, d, "benchmark").select("item_id", F.lit("t").alias("tenant_id"), F.col("text").alias("question"), F.when(i % 3 > 0, F.array(F.substring("text", 1, 20), F.lit(" "), F.lit("second"))).alias("keypoints"))
+    rows = table(spark, d, "benchmark").select("item_id", F.lit("t").alias("tenant_id"), F.col("text").alias("question"), F.array("text", F.lit(" "), F.lit("second")).alias("keypoints"))
     return nodes.with_grading_notes(rows).select("item_id", "grading_notes")
 
 

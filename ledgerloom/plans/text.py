@@ -25,9 +25,9 @@ def norm_ascii(spark, d):
     return _docs(spark, d).select("doc_id", textnorm.norm_ascii(F.col("text")).alias("norm"))
 
 
-@query("slugify", f"select doc_id, replace({NORM.format('left(text, 80)')}, ' ', '_') as slug from documents")
+@query("slugify", f"select doc_id, replace({NORM.format('text')}, ' ', '_') as slug from documents")
 def slugify(spark, d):
-    return _docs(spark, d).select("doc_id", textnorm.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return _docs(spark, d).select("doc_id", textnorm.slugify(F.col("text")).alias("slug"))
 
 
 @query("tokenize", r"select doc_id, len(t) as n_tokens, array_to_string(t, ' ') as tokens from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') as t from documents)")
