@@ -46,7 +46,7 @@ class Words(dict):
     """64-bit hashes of words, kept for words that come again; emptied when it grows."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -160,7 +160,7 @@ def bucket_rows(docs: DataFrame, k: int, num: int, den: int, text_col: str = "te
                 u = shingles(x.as_py() or b"", k, words)
                 if not len(u) or (node := node_of(u)) in met:
                     continue
-                if len(met) > 1_000_000:
+                if len(met) > 250_000:
                     met.clear()
                 met.add(node)
                 own = [bands.keys(u, b) for b in bands.home_and_next(len(u))]

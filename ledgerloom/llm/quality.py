@@ -64,7 +64,7 @@ class Model:
         for a, b in _slices(texts):
             ends, codes, words = split_words(texts.slice(a, b - a))
             total, count = word_sums(words, self.weight, self.params)
-            again = _by_document(repeats(codes, ends), ends)
+            again = _by_document(repeats(codes, ends, words), ends)
             z = _by_document(total[codes], ends) + again * self.weight[TWICE % self.params.buckets]
             z /= _by_document(count[codes], ends) + again + self.params.blank
             out[a:b] = 1 / (1 + np.exp(-np.clip(self.bias + z, -50, 50)))
@@ -99,10 +99,11 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return ends - ends[0], found.indices.to_numpy(), found.dictionary
 
 
-def repeats(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def repeats(codes: np.ndarray, ends: np.ndarray, words: pa.Array) -> np.ndarray:
     """1 for every word that equals the one before it in its text."""
     same = np.zeros(len(codes))
-    same[1:] = codes[1:] == codes[:-1]
+    filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    same[1:] = (codes[1:] == codes[:-1]) & filled[codes[1:]]
     same[ends[:-1][ends[:-1] < len(codes)]] = 0
     return same
 
@@ -170,7 +171,7 @@ def document(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
         word = np.repeat(np.arange(len(words)), many)
         ids.append(found[np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)])
         of.append(word)
-    again = int(repeats(codes, ends).sum())
+    again = int(repeats(codes, ends, words).sum())
     ids = np.concatenate([*ids, np.full(min(again, 1), TWICE % p.buckets)])
     weight = np.concatenate([times[np.concatenate(of)], np.full(min(again, 1), again)]).astype(np.float64)
     u, where = np.unique(ids, return_inverse=True)
