@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bytepairs import op12_bpe_words
 from .decontaminate import op8_decontaminate
 from .fuzzylines import op6_fuzzy_lines
 from .licenses import OP3_SQL, op3_license_sentences
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_quality": op10_quality,
+    "op12_bpe_words": op12_bpe_words,
 }
 
 ORACLES: dict[str, str] = {
