@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType
@@ -101,26 +102,38 @@ def _often(coded: DataFrame, most: int):
 
 
 def _coder(spark: SparkSession, words_of_hot: list[str]):
-    """An Arrow function from an array of words to (n, codes, cold): codes are places in the broadcast table from 1 on, 0 for words that aren't there, which follow in order."""
+    """Two Arrow functions of an array of words. One gives (n, codes): places in the broadcast table from 1 on, 0 for words that aren't there. The other gives those words in order."""
     hot = spark.sparkContext.broadcast(words_of_hot)
     known: dict[str, int] = {}
 
-    @F.arrow_udf("struct<n: int, codes: binary, cold: array<string>>")
-    def code(col: pa.Array) -> pa.Array:
+    def looked_up(col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+        """(where each text's words end, the words' places, the words)"""
         if not known and hot.value:
             known.update({w: i for i, w in enumerate(hot.value, 1)})
         got = col.flatten().dictionary_encode()
-        place = np.fromiter((known.get(w, 0) for w in got.dictionary.to_pylist()), np.uint32, len(got.dictionary))
-        index = got.indices.to_numpy(zero_copy_only=False)
-        codes = place[index] if len(index) else np.empty(0, np.uint32)
-        ends = np.cumsum(np.concatenate([[0], pa.compute.list_value_length(col).to_numpy(zero_copy_only=False)])).astype(np.int64)
-        packed = [pa.compress(np.ascontiguousarray(codes[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), "zstd", asbytes=True) for a, b in zip(ends, ends[1:], strict=False)]
+        place = np.fromiter((known.get(w.as_py(), 0) for w in got.dictionary), np.uint32, len(got.dictionary))
+        codes = place[got.indices.to_numpy(zero_copy_only=False)] if len(got) else np.empty(0, np.uint32)
+        return _ends(col), codes, got
+
+    @F.arrow_udf("struct<n: int, codes: binary>")
+    def coded(col: pa.Array) -> pa.Array:
+        ends, codes, _ = looked_up(col)
+        packed = [pa.compress(np.ascontiguousarray(codes[a:b].view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), "zstd", asbytes=True) for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.StructArray.from_arrays([pa.array(np.diff(ends).astype(np.int32)), pa.array(packed, pa.binary())], ["n", "codes"])
+
+    @F.arrow_udf("array<string>")
+    def cold(col: pa.Array) -> pa.Array:
+        ends, codes, got = looked_up(col)
         missing = codes == 0
-        cold = got.dictionary.take(pa.array(index[missing])) if len(index) else pa.array([], pa.string())
-        seen = np.concatenate([[0], np.cumsum(missing)])[ends].astype(np.int32)
-        return pa.StructArray.from_arrays([pa.array(np.diff(ends).astype(np.int32)), pa.array(packed, pa.binary()), pa.ListArray.from_arrays(pa.array(seen), cold.cast(pa.string()))], ["n", "codes", "cold"])
+        rest = got.dictionary.take(got.indices.filter(pa.array(missing)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(missing)])[ends].astype(np.int32)), rest)
 
-    return code
+    return coded, cold
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    """Where each list ends in the flattened values, after a first 0; null lists are empty."""
+    return np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)])).astype(np.int64)
 
 
 def _joiner(spark: SparkSession, ids_of_hot: list[bytes]):
@@ -174,11 +187,12 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str
     coded = word_table(spark, rows, tokenizer)
     often = _often(coded, hot)
     top = coded.where(often).select("word", "n", "ids").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    split = rows.withColumn("c", _coder(spark, top["word"].tolist())("words")).select("__row", key, "c.*")
-    cold = split.select("__row", F.posexplode("cold").alias("at", "word")).join(coded.where(~often).select("word", "ids"), "word")
+    coder, colder = _coder(spark, top["word"].tolist())
+    split = rows.withColumn("c", coder("words")).select("__row", key, "c.*")
+    cold = rows.select("__row", F.posexplode(colder("words")).alias("at", "word")).join(coded.where(~often).select("word", "ids"), "word")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])
     cold = cold.groupBy("__row").agg(ordered.alias("cold"))
-    both = split.drop("cold").join(cold, "__row", "left")
+    both = split.join(cold, "__row", "left")
     return both.select(key, _joiner(spark, [bytes(x) for x in top["ids"]])("n", "codes", "cold").alias("ids"))
 
 
@@ -198,7 +212,7 @@ def decode(tokens: DataFrame, tokenizer: Tokenizer, ids: str = "ids", text: str
     def join(col: pa.Array) -> pa.Array:
         flat = col.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
         flat = np.where((flat >= 0) & (flat < size), flat, size)
-        ends = np.cumsum(np.concatenate([[0], pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False)])).astype(np.int64)
+        ends = _ends(col)
         met = pa.array([*shared.value, b""], pa.large_binary()).take(pa.array(flat))
         at = np.frombuffer(met.buffers()[1], np.int64)[met.offset : met.offset + len(met) + 1]
         data = met.buffers()[2]
@@ -210,7 +224,8 @@ def decode(tokens: DataFrame, tokenizer: Tokenizer, ids: str = "ids", text: str
 @F.arrow_udf(BinaryType())
 def packed(ids: pa.Array) -> pa.Array:
     """Ids as little-endian numbers of 32 bits."""
-    return pa.array([np.array(x or [], "<u4").tobytes() for x in ids.to_pylist()], pa.binary())
+    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), _ends(ids)
+    return pa.array([flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
 
 
 def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
