@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bytepairs import op12_bpe_words
 from .decontaminate import op8_decontaminate
 from .fuzzylines import op6_fuzzy_lines
+from .lexicalblocks import OP11_SQL, op11_block_search
 from .licenses import OP3_SQL, op3_license_sentences
 from .matroska import op1_matroska
 from .mixing import op4_mix_sources
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_secret_ledger": op9_secret_ledger,
     "op10_quality": op10_quality,
+    "op11_block_search": op11_block_search,
     "op12_bpe_words": op12_bpe_words,
 }
 
@@ -36,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op9_secret_ledger": OP9_SQL,
     "op3_license_sentences": OP3_SQL,
     "op7_format_conversations": OP7_SQL,
+    "op11_block_search": OP11_SQL,
 }
