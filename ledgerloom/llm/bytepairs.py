@@ -101,33 +101,54 @@ def _often(coded: DataFrame, most: int):
     return (level >= least) & (F.octet_length("word") <= HOT_BYTES)
 
 
-def _coder(spark: SparkSession, words_of_hot: list[str]):
+def _in_slices(f, *columns: pa.Array, rows: int = 256) -> pa.Array:
+    """``f`` of some rows at a time, so that what it makes on the way stays small."""
+    return pa.concat_arrays([f(*[c.slice(a, rows) for c in columns]) for a in range(0, max(len(columns[0]), 1), rows)])
+
+
+def _shared(spark: SparkSession, column: pa.ChunkedArray):
+    """A broadcast of a column as Arrow bytes."""
+    sink = pa.BufferOutputStream()
+    part = pa.table({"c": column})
+    with pa.ipc.new_stream(sink, part.schema) as out:
+        out.write_table(part)
+    return spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def _coder(spark: SparkSession, words_of_hot: pa.ChunkedArray):
     """Two Arrow functions of an array of words. One gives (n, codes): places in the broadcast table from 1 on, 0 for words that aren't there. The other gives those words in order."""
-    hot = spark.sparkContext.broadcast(words_of_hot)
+    hot = _shared(spark, words_of_hot)
     known: dict[str, int] = {}
 
     def looked_up(col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
         """(where each text's words end, the words' places, the words)"""
-        if not known and hot.value:
-            known.update({w: i for i, w in enumerate(hot.value, 1)})
+        if not known:
+            known.update((w, i) for i, w in enumerate((w.as_py() for w in pa.ipc.open_stream(hot.value).read_all()["c"]), 1))
+            known[""] = 0
         got = col.flatten().dictionary_encode()
         place = np.fromiter((known.get(w.as_py(), 0) for w in got.dictionary), np.uint32, len(got.dictionary))
         codes = place[got.indices.to_numpy(zero_copy_only=False)] if len(got) else np.empty(0, np.uint32)
         return _ends(col), codes, got
 
-    @F.arrow_udf("struct<n: int, codes: binary>")
-    def coded(col: pa.Array) -> pa.Array:
+    def codes_of(col: pa.Array) -> pa.Array:
         ends, codes, _ = looked_up(col)
         packed = [pa.compress(np.ascontiguousarray(codes[a:b].view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), "zstd", asbytes=True) for a, b in zip(ends, ends[1:], strict=False)]
         return pa.StructArray.from_arrays([pa.array(np.diff(ends).astype(np.int32)), pa.array(packed, pa.binary())], ["n", "codes"])
 
-    @F.arrow_udf("array<string>")
-    def cold(col: pa.Array) -> pa.Array:
+    def rest_of(col: pa.Array) -> pa.Array:
         ends, codes, got = looked_up(col)
         missing = codes == 0
         rest = got.dictionary.take(got.indices.filter(pa.array(missing)))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(missing)])[ends].astype(np.int32)), rest)
 
+    @F.arrow_udf("struct<n: int, codes: binary>")
+    def coded(col: pa.Array) -> pa.Array:
+        return _in_slices(codes_of, col)
+
+    @F.arrow_udf("array<string>")
+    def cold(col: pa.Array) -> pa.Array:
+        return _in_slices(rest_of, col)
+
     return coded, cold
 
 
@@ -136,13 +157,17 @@ def _ends(lists: pa.ListArray) -> np.ndarray:
     return np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)])).astype(np.int64)
 
 
-def _joiner(spark: SparkSession, ids_of_hot: list[bytes]):
+def _joiner(spark: SparkSession, ids_of_hot: pa.ChunkedArray):
     """An Arrow function that puts a text's ids together from its codes and the ids of its other words in order."""
-    shared = spark.sparkContext.broadcast((np.array([0, *(len(x) // 4 for x in ids_of_hot)], np.int32), np.frombuffer(b"".join(ids_of_hot), "<u4").astype(np.int32)))
-
-    @F.arrow_udf("array<int>")
-    def join(n: pa.Array, codes: pa.Array, cold: pa.Array) -> pa.Array:
-        sizes, flat = shared.value
+    shared = _shared(spark, ids_of_hot)
+    held: list[np.ndarray] = []
+
+    def ids_of(n: pa.Array, codes: pa.Array, cold: pa.Array) -> pa.Array:
+        if not held:
+            told = pa.ipc.open_stream(shared.value).read_all()["c"]
+            sizes = np.concatenate([[0], pc.binary_length(told).to_numpy() // 4]).astype(np.int32)
+            held.extend([sizes, np.frombuffer(b"".join(x.as_py() for x in told), "<u4").astype(np.int32)])
+        sizes, flat = held
         starts = np.concatenate([[0], np.cumsum(sizes)])
         out, ends = [], [0]
         for size, packed, rest in zip(n.to_pylist(), codes.to_pylist(), cold.to_pylist(), strict=True):
@@ -163,6 +188,10 @@ def _joiner(spark: SparkSession, ids_of_hot: list[bytes]):
             ends.append(ends[-1] + total)
         return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
 
+    @F.arrow_udf("array<int>")
+    def join(n: pa.Array, codes: pa.Array, cold: pa.Array) -> pa.Array:
+        return _in_slices(ids_of, n, codes, cold)
+
     return join
 
 
@@ -186,14 +215,14 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str
     rows = _rows(docs, key, text).withColumn("words", words(F.col("__text"), list(tokenizer.added()))).drop("__text")
     coded = word_table(spark, rows, tokenizer)
     often = _often(coded, hot)
-    top = coded.where(often).select("word", "n", "ids").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    coder, colder = _coder(spark, top["word"].tolist())
+    top = coded.where(often).select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    coder, colder = _coder(spark, top["word"])
     split = rows.withColumn("c", coder("words")).select("__row", key, "c.*")
     cold = rows.select("__row", F.posexplode(colder("words")).alias("at", "word")).join(coded.where(~often).select("word", "ids"), "word")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])
     cold = cold.groupBy("__row").agg(ordered.alias("cold"))
     both = split.join(cold, "__row", "left")
-    return both.select(key, _joiner(spark, [bytes(x) for x in top["ids"]])("n", "codes", "cold").alias("ids"))
+    return both.select(key, _joiner(spark, top["ids"])("n", "codes", "cold").alias("ids"))
 
 
 def decode(tokens: DataFrame, tokenizer: Tokenizer, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -207,25 +236,35 @@ def decode(tokens: DataFrame, tokenizer: Tokenizer, ids: str = "ids", text: str
     for i, p in table:
         pieces[i] = p
     shared = tokens.sparkSession.sparkContext.broadcast(pieces)
+    held: list[pa.Array] = []
 
-    @F.arrow_udf("string")
-    def join(col: pa.Array) -> pa.Array:
+    def texts(col: pa.Array) -> pa.Array:
+        if not held:
+            held.append(pa.array([*shared.value, b""], pa.large_binary()))
         flat = col.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
         flat = np.where((flat >= 0) & (flat < size), flat, size)
         ends = _ends(col)
-        met = pa.array([*shared.value, b""], pa.large_binary()).take(pa.array(flat))
+        met = held[0].take(pa.array(flat))
         at = np.frombuffer(met.buffers()[1], np.int64)[met.offset : met.offset + len(met) + 1]
         data = met.buffers()[2]
         return pa.array([data[int(at[a]) : int(at[b])].to_pybytes().decode("utf-8", "replace") if b > a else "" for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
+    @F.arrow_udf("string")
+    def join(col: pa.Array) -> pa.Array:
+        return _in_slices(texts, col)
+
     return tokens.withColumn(text, join(ids))
 
 
 @F.arrow_udf(BinaryType())
 def packed(ids: pa.Array) -> pa.Array:
     """Ids as little-endian numbers of 32 bits."""
-    flat, ends = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), _ends(ids)
-    return pa.array([flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+
+    def blobs(col: pa.Array) -> pa.Array:
+        flat, ends = col.flatten().to_numpy(zero_copy_only=False).astype("<u4"), _ends(col)
+        return pa.array([flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
+
+    return _in_slices(blobs, ids)
 
 
 def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
