@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bytepairs import op12_bpe_words
 from .decontaminate import op8_decontaminate
 from .fuzzylines import op6_fuzzy_lines
+from .hardnegatives import OP13_SQL, op13_hard_negatives
 from .lexicalblocks import OP11_SQL, op11_block_search
 from .licenses import OP3_SQL, op3_license_sentences
 from .matroska import op1_matroska
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_block_search": op11_block_search,
     "op12_bpe_words": op12_bpe_words,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -39,4 +41,5 @@ ORACLES: dict[str, str] = {
     "op3_license_sentences": OP3_SQL,
     "op7_format_conversations": OP7_SQL,
     "op11_block_search": OP11_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
