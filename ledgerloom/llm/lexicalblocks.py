@@ -28,13 +28,28 @@ _BYTES = bytes.maketrans(bytes(range(256)), bytes(b + 32 if 65 <= b <= 90 else b
 CENTROIDS, SEGMENT, BLOCK, QUERIES, SPACE = 256, 1024, 128, 1024, 64
 
 VECTORS = "n long, terms array<int>, tf array<int>"
-INDEX = "cluster int, part int, docs array<long>, ptr array<int>, terms array<int>, impacts array<int>, block_term array<int>, block_ptr array<int>, block_docs array<int>, sum_ptr array<int>, sum_terms array<int>, sum_max array<int>"
+#: A segment's lists, each kept as packed numbers: its documents with their forward lists, then blocks with their term, documents and summary.
+LISTS = ("docs", "ptr", "terms", "impacts", "block_term", "block_ptr", "block_docs", "sum_ptr", "sum_terms", "sum_max")
+INDEX = "cluster int, part int, " + ", ".join(f"{x} binary" for x in LISTS)
 
 
 def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes: how many, how wide they are, and their bytes compressed."""
+    width = 8 if len(values) and (values.max() > 0x7FFFFFFF or values.min() < -0x80000000) else 4
+    planes = np.asarray(values, f"<i{width}").view(np.uint8).reshape(-1, width).T
+    return len(values).to_bytes(8, "little") + bytes([width]) + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n, width = int.from_bytes(blob[:8], "little"), blob[8]
+    planes = np.frombuffer(pa.decompress(blob[9:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<i{width}").ravel().astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Asked:
     """A block of queries on the executors: their ids, their terms as numbers, and the number of each term."""
@@ -181,9 +196,8 @@ def build_index(counted: DataFrame, asked: Broadcast, corpus: Broadcast) -> Data
                 sum_max.append(top[top > 0])
         ends = lambda xs: np.cumsum([0, *map(len, xs)])
         columns = [group["doc"].to_numpy(), np.searchsorted(row, np.arange(group.num_rows + 1)), term, impact, block_term, ends(block_docs), np.concatenate(block_docs), ends(sum_terms), np.concatenate(sum_terms), np.concatenate(sum_max)]
-        kinds = [pa.int64()] + [pa.int32()] * 9
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(np.asarray(v), k)) for v, k in zip(columns, kinds, strict=True)]
-        return pa.Table.from_arrays([group["cluster"].slice(0, 1), group["part"].slice(0, 1), *lists], [x.split()[0] for x in INDEX.split(", ")])
+        blobs = [pa.array([pack(np.asarray(v))], pa.binary()) for v in columns]
+        return pa.Table.from_arrays([group["cluster"].slice(0, 1), group["part"].slice(0, 1), *blobs], ["cluster", "part", *LISTS])
 
     return written(rows.groupBy("cluster", "part").applyInArrow(build, INDEX), "blocks")
 
@@ -192,8 +206,8 @@ class Segment:
     """A row of the index as arrays."""
 
     def __init__(self, columns: dict):
-        for name in ("docs", "ptr", "terms", "impacts", "block_term", "block_ptr", "block_docs", "sum_ptr", "sum_terms", "sum_max"):
-            setattr(self, name, columns[name].values.to_numpy(zero_copy_only=False).astype(np.int64))
+        for name in LISTS:
+            setattr(self, name, unpack(columns[name].as_py()))
         self.first = np.searchsorted(self.block_term, np.unique(self.block_term))
         own = self.sum_terms == np.repeat(self.block_term, np.diff(self.sum_ptr))
         tops = np.zeros(len(self.block_term), np.int64)
