@@ -119,3 +119,22 @@ def price_range(bases: DataFrame, request: str = "request") -> DataFrame:
     """(request, low, high, final): of a request's prices after discount; one price is final, several are a range."""
     out = bases.where("price is not null").groupBy(request).agg(F.min("price").alias("low"), F.max("price").alias("high"))
     return out.withColumn("final", F.when(F.col("low") == F.col("high"), F.col("low")))
+
+
+def combo_price(requests: DataFrame, courses: DataFrame, most: float = 50) -> DataFrame:
+    """(request, base, percent, final): the price of the two courses that a request for a combo names best, after its percentage and with its fees.
+
+    ``requests`` (request, text, percent, fees), ``courses`` (course, name, price). A course is named where two of its words of four letters or more
+    stand in the text, or its only one. More words come first, then the higher price, then the smaller id. A percentage above ``most`` doesn't count; requests that
+    name fewer than two courses have no row.
+    """
+    said = F.split(norm_ascii(F.col("text")), " ")
+    asked = requests.select("request", F.explode(F.array_distinct(said)).alias("t"), (F.array_contains(said, "combo") & F.array_contains(said, "khoa")).alias("combo")).where("combo")
+    words = courses.select("course", "price", F.filter(F.split(norm_ascii(F.col("name")), " "), lambda t: F.length(t) >= 4).alias("ts"))
+    each = words.select("course", "price", F.size("ts").alias("n"), F.explode("ts").alias("t")).groupBy("course", "price", "n", "t").agg(F.count("*").alias("times"))
+    hits = asked.join(each, "t").groupBy("request", "course", "price", "n").agg(F.sum("times").alias("hits")).where(F.col("hits") >= F.least(F.lit(2), F.col("n")))
+    order = Window.partitionBy("request").orderBy(F.col("hits").desc(), F.col("price").desc(), "course")
+    two = hits.withColumn("r", F.row_number().over(order)).where("r <= 2").groupBy("request").agg(F.sum("price").alias("base"), F.count("*").alias("n")).where("n = 2")
+    percent = F.when((F.col("percent") > 0) & (F.col("percent") <= most), F.col("percent"))
+    told = two.join(requests.select("request", "fees", percent.alias("percent")), "request")
+    return told.select("request", "base", "percent", (F.col("base") - F.coalesce(F.bround(F.col("base") * F.col("percent") / 100), F.lit(0)) + F.coalesce("fees", F.lit(0))).cast("long").alias("final"))
