@@ -25,7 +25,7 @@ from .shared import table, written
 SPACE = r"\s\x85\p{Z}"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Rows of the broadcast part of the word table, and bytes of a word in it.
-HOT, HOT_BYTES = 1 << 19, 32
+HOT, HOT_BYTES = 1 << 20, 32
 
 
 @dataclass(frozen=True)
@@ -118,37 +118,28 @@ def _shared(spark: SparkSession, column: pa.ChunkedArray):
 def _coder(spark: SparkSession, words_of_hot: pa.ChunkedArray):
     """Two Arrow functions of an array of words. One gives (n, codes): places in the broadcast table from 1 on, 0 for words that aren't there. The other gives those words in order."""
     hot = _shared(spark, words_of_hot)
-    known: dict[str, int] = {}
 
     def looked_up(col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
-        """(where each text's words end, the words' places, the words)"""
-        if not known:
-            known.update((w, i) for i, w in enumerate((w.as_py() for w in pa.ipc.open_stream(hot.value).read_all()["c"]), 1))
-            known[""] = 0
+        """(where each text's words end, the words' places, the words): the distinct words of a batch are matched to the broadcast ones."""
         got = col.flatten().dictionary_encode()
-        place = np.fromiter((known.get(w.as_py(), 0) for w in got.dictionary), np.uint32, len(got.dictionary))
-        codes = place[got.indices.to_numpy(zero_copy_only=False)] if len(got) else np.empty(0, np.uint32)
+        place = pc.index_in(got.dictionary, value_set=pa.ipc.open_stream(hot.value).read_all()["c"].combine_chunks())
+        codes = (place.fill_null(-1).to_numpy(zero_copy_only=False) + 1).astype("<u4")[got.indices.to_numpy(zero_copy_only=False)]
         return _ends(col), codes, got
 
-    def codes_of(col: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<n: int, codes: binary>")
+    def coded(col: pa.Array) -> pa.Array:
         ends, codes, _ = looked_up(col)
-        packed = [pa.compress(np.ascontiguousarray(codes[a:b].view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), "zstd", asbytes=True) for a, b in zip(ends, ends[1:], strict=False)]
+        zstd = pa.Codec("zstd", compression_level=7)
+        packed = [zstd.compress(np.ascontiguousarray(codes[a:b].view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), asbytes=True) for a, b in zip(ends, ends[1:], strict=False)]
         return pa.StructArray.from_arrays([pa.array(np.diff(ends).astype(np.int32)), pa.array(packed, pa.binary())], ["n", "codes"])
 
-    def rest_of(col: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<string>")
+    def cold(col: pa.Array) -> pa.Array:
         ends, codes, got = looked_up(col)
         missing = codes == 0
         rest = got.dictionary.take(got.indices.filter(pa.array(missing)))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(missing)])[ends].astype(np.int32)), rest)
 
-    @F.arrow_udf("struct<n: int, codes: binary>")
-    def coded(col: pa.Array) -> pa.Array:
-        return _in_slices(codes_of, col)
-
-    @F.arrow_udf("array<string>")
-    def cold(col: pa.Array) -> pa.Array:
-        return _in_slices(rest_of, col)
-
     return coded, cold
 
 
@@ -166,7 +157,7 @@ def _joiner(spark: SparkSession, ids_of_hot: pa.ChunkedArray):
         if not held:
             told = pa.ipc.open_stream(shared.value).read_all()["c"]
             sizes = np.concatenate([[0], pc.binary_length(told).to_numpy() // 4]).astype(np.int32)
-            held.extend([sizes, np.frombuffer(b"".join(x.as_py() for x in told), "<u4").astype(np.int32)])
+            held.extend([sizes, np.frombuffer(b"".join(c.take(pa.array(range(len(c)))).buffers()[2].to_pybytes() if len(c) else b"" for c in told.chunks), "<u4").astype(np.int32)])
         sizes, flat = held
         starts = np.concatenate([[0], np.cumsum(sizes)])
         out, ends = [], [0]
