@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,78 +87,92 @@ def relevant_lines(text, entity, most: int = 16, cap: int = 2200):
     return F.when(F.length(out) > cap, F.concat(F.regexp_replace(F.substring(out, 1, cap), r"\s+$", ""), F.lit(CUT))).otherwise(out)
 
 
-def _smart(text: str, size: int, overlap: int) -> list[str]:
-    s = text.replace("\r\n", "\n").replace("\r", "\n").strip()
-    out, start = [], 0
-    while start < len(s):
-        end = stop = min(len(s), start + size)
-        if end < len(s):
-            low = start + int((end - start) * 0.6)
-            at = s.rfind("\n", low, end)
-            at = at if at >= 0 else max(s.rfind(" ", low, end), s.rfind("\t", low, end))
-            stop = at + 1 if at >= 0 else end
-        if piece := s[start:stop].strip():
-            out.append(piece)
-        if stop >= len(s):
-            break
-        start = max(start + 1, stop - overlap)
-    return out
-
-
-def _sentences(paragraph: str, most: int) -> list[str]:
-    """A long paragraph packed by sentences; the last piece is cut to size."""
-    out, held = [], ""
-    for s in filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+", paragraph))):
-        if len(held) + len(s) + 1 <= most:
-            held = f"{held} {s}".strip()
-        else:
-            out += [held] if held else []
-            held = s
-    while len(held) > most:
-        out.append(held[:most].rstrip())
-        held = held[most:].lstrip()
-    return out + ([held] if held else [])
-
-
-def _packed(text: str, most: int, least: int) -> list[str]:
-    t = text.strip()
-    if len(t) <= most:
-        return [t] if t else []
-    out: list[str] = []
-    held: list[str] = []
-
-    def flush() -> None:
-        if held:
-            out.append("\n\n".join(held))
-            held.clear()
-
-    for p in filter(None, map(str.strip, re.split(r"\n{2,}", t))):
-        if len(p) > most:
-            flush()
-            out.extend(_sentences(p, most))
-        else:
-            if held and sum(len(x) + 2 for x in held) + len(p) + 2 > most:
-                flush()
-            held.append(p)
-    flush()
-    if len(out) >= 2 and len(out[-1]) < least:
-        out[-2:] = [f"{out[-2].rstrip()}\n\n{out[-1].lstrip()}".strip()]
-    return out
-
-
-def _by_text(cut, text):
+def _units(paragraph, most: int):
+    """A paragraph's sentences, those above ``most`` characters cut into pieces of that size."""
+    sentences = F.filter(F.transform(F.split(paragraph, r"(?<=[.!?])\s+"), strip), lambda t: t != "")
+    pieces = lambda t: F.transform(F.sequence(F.lit(0), F.ceil(F.length(t) / most).cast("int") - 1), lambda i: strip(F.substr(t, i * most + 1, F.lit(most))))
+    return F.filter(F.flatten(F.transform(sentences, pieces)), lambda t: t != "")
+
+
+def packed(col, most: int, least: int):
+    """The pieces of a text: its paragraphs, or the sentences of a paragraph above ``most`` characters, put together in order while they fit.
+
+    A unit is (text, what joins it to the one before, room that must be left, lane); units of different lanes don't join. One fold over the units grows the
+    last piece or begins another. The last piece joins the one before it where it is below ``least`` characters.
+    """
+    t = strip(F.coalesce(col, F.lit("")))
+    unit = lambda text, gap, room, lane: F.struct(text.alias("text"), F.lit(gap).alias("gap"), F.lit(room).alias("room"), lane.alias("lane"))
+    paragraphs = F.filter(F.transform(F.split(t, r"\n{2,}"), strip), lambda p: p != "")
+    whole = lambda p: F.array(unit(p, "\n\n", 2, F.lit(-1)))
+    units = F.flatten(F.transform(paragraphs, lambda p, i: F.when(F.length(p) <= most, whole(p)).otherwise(F.transform(_units(p, most), lambda s: unit(s, " ", 0, i)))))
+
+    def grow(acc, u):
+        fits = (acc["lane"] == u["lane"]) & (F.length(acc["held"]) + F.length(u["gap"]) + F.length(u["text"]) + u["room"] <= most)
+        done = F.when(fits | (acc["held"] == ""), acc["done"]).otherwise(F.array_append(acc["done"], acc["held"]))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(acc["held"], u["gap"], u["text"])).otherwise(u["text"]).alias("held"), u["lane"].alias("lane"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(-2).alias("lane"))
+    out = F.aggregate(units, start, grow, lambda acc: F.filter(F.array_append(acc["done"], acc["held"]), lambda x: x != ""))
+    n = F.size(out)
+    merged = F.array_append(F.slice(out, F.lit(1), n - 2), F.concat(F.get(out, n - 2), F.lit("\n\n"), F.get(out, n - 1)))
+    return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) <= most, F.array(t)).when((n >= 2) & (F.length(F.get(out, n - 1)) < least), merged).otherwise(out)
+
+
+def sentence_chunks(col, size: int, overlap: int):
+    """The chunks of a text: sentences put together up to ``size`` characters. A chunk begins with the last whole sentences of the one before, up to
+    ``overlap`` characters and as far as they leave room. A sentence above ``size`` characters is cut into windows that overlap, and nothing is carried on from it."""
+    if not 0 <= overlap < size:
+        raise ValueError("the overlap must be smaller than the chunk")
+    none = F.array().cast("array<string>")
+    sentences = F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), r"(?<=[.!?])\s+"), strip), lambda t: t != "")
+    joined = lambda xs: F.array_join(xs, " ")
+    windows = lambda t: F.transform(F.sequence(F.lit(0), F.ceil((F.length(t) - size) / (size - overlap)).cast("int")), lambda i: F.substr(t, i * (size - overlap) + 1, F.lit(size)))
+
+    def step(acc, t):
+        held = acc["held"]
+        long, fits = F.length(t) > size, F.length(joined(F.array_append(held, t))) <= size
+        tail = lambda i: F.length(joined(F.slice(held, i + 1, F.size(held))))
+        carried = F.filter(held, lambda x, i: (tail(i) <= overlap) & (tail(i) + 1 + F.length(t) <= size))
+        done = F.when(fits | (F.size(held) == 0), acc["done"]).otherwise(F.array_append(acc["done"], joined(held)))
+        return F.struct(F.when(long, F.concat(done, windows(t))).otherwise(done).alias("done"), F.when(long, none).when(fits, F.array_append(held, t)).otherwise(F.array_append(carried, t)).alias("held"))
+
+    end = lambda acc: F.when(F.size(acc["held"]) > 0, F.array_append(acc["done"], joined(acc["held"]))).otherwise(acc["done"])
+    return F.aggregate(sentences, F.struct(none.alias("done"), none.alias("held")), step, end)
+
+
+def _last(stops: np.ndarray, low: int, high: int) -> int:
+    """The last of the sorted ``stops`` above ``low`` and not above ``high``, or 0."""
+    i = int(np.searchsorted(stops, high, "right"))
+    return int(stops[i - 1]) if i and stops[i - 1] > low else 0
+
+
+def _windows(text: str, size: int, overlap: int, part: float = 0.6) -> list[str]:
+    """Windows over the places after line breaks and after blanks: one ends at the last such place behind its first ``part``."""
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    breaks, blanks = np.flatnonzero(code == 10) + 1, np.flatnonzero((code == 32) | (code == 9)) + 1
+    spans, at = [], 0
+    while at + size < len(code):
+        end = _last(breaks, at + int(size * part), at + size) or _last(blanks, at + int(size * part), at + size) or at + size
+        spans.append((at, end))
+        at = max(at + 1, end - overlap)
+    return [piece for a, b in [*spans, (at, len(code))] if (piece := text[a:b].strip())]
+
+
+def chunk_smart(df: DataFrame, key: str, text: str = "text", size: int = 800, overlap: int = 100) -> DataFrame:
+    """(key, chunk, text): windows of ``size`` characters that end at the last line break, or else blank, of their last two fifths."""
+
     @F.arrow_udf("array<string>")
     def pieces(texts: pa.Array) -> pa.Array:
-        return pa.array([cut(x.as_py() or "") for x in texts], pa.list_(pa.string()))
+        return pa.array([_windows(re.sub(r"\r\n?", "\n", x.as_py() or "").strip(), size, overlap) for x in texts], pa.list_(pa.string()))
 
-    return pieces(text)
+    return df.select(key, F.posexplode(pieces(F.col(text))).alias("chunk", "text"))
 
 
-def chunk_smart(df: DataFrame, key: str, text: str = "text", size: int = 800, overlap: int = 100) -> DataFrame:
-    """(key, chunk, text): windows of ``size`` characters that end at the last line break, or else blank, of their last two fifths."""
-    return df.select(key, F.posexplode(_by_text(lambda t: _smart(t, size, overlap), F.col(text))).alias("chunk", "text"))
+def chunk_sentences(df: DataFrame, key: str, text: str = "text", size: int = 800, overlap: int = 100) -> DataFrame:
+    """(key, chunk, text): ``sentence_chunks`` of each text, numbered from 0; null and blank texts have none."""
+    return df.select(key, F.posexplode(sentence_chunks(F.col(text), size, overlap)).alias("chunk", "text"))
 
 
 def pack_paragraphs(df: DataFrame, key: str, text: str = "text", most: int = 4000, least: int = 800) -> DataFrame:
-    """(key, chunk, text): paragraphs packed up to ``most`` characters, long ones by sentences; a last piece below ``least`` joins the one before."""
-    return df.select(key, F.posexplode(_by_text(lambda t: _packed(t, most, least), F.col(text))).alias("chunk", "text"))
+    """(key, chunk, text): paragraphs packed up to ``most`` characters, long ones by sentences, longer sentences cut; a last piece below ``least`` joins the one before."""
+    return df.select(key, F.posexplode(packed(F.col(text), most, least)).alias("chunk", "text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import extract
@@ -64,9 +66,38 @@ def chunk_smart(spark, d):
     return ops.chunk_smart(_docs(spark, d), "doc_id")
 
 
-@query("pack_paragraphs")
+_MOST, _LEAST = 1500, 300
+#: One row a unit, then a walk along each document's units that grows the last piece or begins another.
+PACKED = rf"""t as (select doc_id, {_s("coalesce(text, '')")} as t from documents), ps as (select doc_id, i, {_s('p')} as p from (select doc_id, unnest(string_split_regex(t, '\n{{2,}}')) as p, generate_subscripts(string_split_regex(t, '\n{{2,}}'), 1) as i from t where length(t) > {_MOST})),
+st as (select doc_id, i, -1 as lane, 0 as j, 0 as k, p as u, 2 as gap, 2 as room from ps where p <> '' and length(p) <= {_MOST}
+  union all select doc_id, i, i, j, k, {_s('substring(s, k * 1500 + 1, 1500)')}, 1, 0 from (select doc_id, i, j, {_s('s')} as s from (select doc_id, i, unnest(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(0), 'g'), chr(0))) as s, generate_subscripts(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(0), 'g'), chr(0)), 1) as j from ps where length(p) > {_MOST})), unnest(range(0, cast(ceil(length(s) / {_MOST}.0) as bigint))) as x(k)),
+un as (select *, row_number() over (partition by doc_id order by i, j, k) as n from st where u <> ''),
+w(doc_id, n, piece, held, lane) as (select doc_id, n, 1, u, lane from un where n = 1
+  union all select un.doc_id, un.n, case when un.lane = w.lane and length(held) + gap + length(u) + room <= {_MOST} then piece else piece + 1 end, case when un.lane = w.lane and length(held) + gap + length(u) + room <= {_MOST} then held || case when gap = 2 then chr(10) || chr(10) else ' ' end || u else u end, un.lane from w join un on un.doc_id = w.doc_id and un.n = w.n + 1),
+pc as (select doc_id, piece, arg_max(held, n) as text from w group by all union all select doc_id, 1, t from t where length(t) between 1 and {_MOST}),
+pm as (select *, max(piece) over (partition by doc_id) as last from pc), pe as (select doc_id, piece, text, last > 1 and arg_max(length(text), piece) over (partition by doc_id) < {_LEAST} as low, last from pm)
+select doc_id, cast(least(piece, case when low then last - 1 else last end) - 1 as int) as chunk, string_agg(text, chr(10) || chr(10) order by piece) as text from pe group by all"""
+
+
+@query("pack_paragraphs", "with recursive " + PACKED)
 def pack_paragraphs(spark, d):
-    return ops.pack_paragraphs(_docs(spark, d), "doc_id")
+    return ops.pack_paragraphs(_docs(spark, d), "doc_id", most=_MOST, least=_LEAST)
+
+
+SENTENCES = rf"""ss as (select doc_id, {_s('s')} as s, i from (select doc_id, unnest(string_split(x, chr(0))) as s, generate_subscripts(string_split(x, chr(0)), 1) as i from (select doc_id, regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(0), 'g') as x from documents))),
+sn as (select doc_id, s, row_number() over (partition by doc_id order by i) as n from ss where s <> ''),
+w(doc_id, n, held, out) as (select doc_id, 0::bigint, []::varchar[], []::varchar[] from (select distinct doc_id from sn)
+  union all select w.doc_id, sn.n, case when length(s) > 300 then []::varchar[] when length(array_to_string(list_append(held, s), ' ')) <= 300 then list_append(held, s)
+    else list_append(list_filter(held, lambda x, i: length(array_to_string(held[i:], ' ')) <= 120 and length(array_to_string(held[i:], ' ')) + 1 + length(s) <= 300), s) end,
+    list_concat(case when length(array_to_string(list_append(held, s), ' ')) > 300 and len(held) > 0 then [array_to_string(held, ' ')] else []::varchar[] end, case when length(s) > 300 then list_transform(range(0, cast(ceil((length(s) - 300) / 180.0) as bigint) + 1), lambda i: substring(s, i * 180 + 1, 300)) else []::varchar[] end)
+  from w join sn on sn.doc_id = w.doc_id and sn.n = w.n + 1),
+ch as (select doc_id, n, 0 as z, unnest(out) as text, generate_subscripts(out, 1) as i from w union all select doc_id, n, 1, array_to_string(held, ' '), 0 from (select *, max(n) over (partition by doc_id) as m from w) where n = m and len(held) > 0)
+select doc_id, cast(row_number() over (partition by doc_id order by n, z, i) - 1 as int) as chunk, text from ch"""
+
+
+@query("chunk_sentences", "with recursive " + SENTENCES)
+def chunk_sentences(spark, d):
+    return ops.chunk_sentences(_docs(spark, d), "doc_id", size=300, overlap=120)
 
 
 @query(
@@ -129,14 +160,14 @@ def is_commercial(spark, d):
     return _said(spark, d).select("doc_id", extract.is_commercial(F.col("text")).alias("commercial"))
 
 
-ASKED = "t as (select doc_id, lower(text || case doc_id % 4 when 0 then ' need Python, data analyst 3 năm' when 1 then ' 12 years of JAVA; googleui' else '' end) as text from documents)"
-_KNOWN = ", ".join(f"case when regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_]){s}($|[^\\p{{L}}\\p{{N}}_])') then '{s.title()}' end" for s in extract.SKILLS)
+ASKED = "t as (select doc_id, lower(text || case doc_id % 4 when 0 then ' need Python, data analyst 3 năm' when 1 then ' 12 years of JAVA; googleui, C++ and c#' when 2 then ' Go/net' else '' end) as text from documents)"
+_KNOWN = ", ".join(f"case when regexp_matches(text, '(^|[^\\p{{L}}\\p{{N}}_]){re.escape(s)}($|[^\\p{{L}}\\p{{N}}_])') then '{s.title()}' end" for s in extract.SKILLS)
 
 
 @query("candidate_criteria", rf"with {ASKED} select doc_id, array_to_string(list_filter([{_KNOWN}], lambda x: x is not null), ',') as skills, try_cast(nullif(regexp_extract(text, '([0-9]+)\s*(?:năm|nam|year|yr|yrs|tuổi|tuoi)', 1), '') as bigint) as min_exp from t")
 def candidate_criteria(spark, d):
     i = F.col("doc_id") % 4
-    asked = F.concat("text", F.when(i == 0, " need Python, data analyst 3 năm").when(i == 1, " 12 years of JAVA; googleui").otherwise(""))
+    asked = F.concat("text", F.when(i == 0, " need Python, data analyst 3 năm").when(i == 1, " 12 years of JAVA; googleui, C++ and c#").when(i == 2, " Go/net").otherwise(""))
     return _docs(spark, d).select("doc_id", extract.candidate_criteria(asked).alias("c")).select("doc_id", F.array_join("c.skills", ",").alias("skills"), "c.min_exp")
 
 
@@ -160,9 +191,13 @@ def policy_eligibility(spark, d):
     return asked.select("o_orderkey", extract.refund_eligible(F.col("refunds"), F.col("sessions"), F.col("o_orderkey") % 9).alias("refund"), extract.age_eligible(F.col("o_orderkey") % 70, F.col("least"), F.col("most")).alias("age_fits"))
 
 
-@query("merge_memory", "select doc_id, case when doc_id % 2 = 0 then lang else source end as who, lang as \"where\", case when doc_id % 2 = 0 then 'p' || doc_id end as phone from documents")
+@query("merge_memory", """select doc_id, case when doc_id % 2 = 0 then lang else source end as who, case when doc_id % 2 = 0 then null else lang end as "where", case when doc_id % 2 = 0 then 'p' || doc_id end as phone,
+  case when doc_id % 3 = 0 then null else 'x' end as deep, case when doc_id % 3 = 0 then 'leaf' end as top, case when doc_id % 3 = 1 then 'under' end as under from documents""")
 def merge_memory(spark, d):
-    even = F.col("doc_id") % 2 == 0
-    base = F.create_map(F.lit("who"), F.col("source"), F.lit("where"), F.col("lang"))
-    patch = F.when(even, F.create_map(F.lit("who"), F.col("lang"), F.lit("phone"), F.concat(F.lit("p"), F.col("doc_id"))))
-    return _docs(spark, d).select("doc_id", extract.merge_memory(base, patch).alias("m")).select("doc_id", F.col("m")["who"].alias("who"), F.col("m")["where"].alias("where"), F.col("m")["phone"].alias("phone"))
+    """Values, nulls that win, a leaf that replaces a tree, and a tree that replaces a leaf."""
+    even, third = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3
+    base = F.create_map(F.lit("who"), F.col("source"), F.lit("where"), F.col("lang"), F.lit("a.b"), F.lit("x"), F.lit("c"), F.lit("y"))
+    one = F.when(even, F.create_map(F.lit("who"), F.col("lang"), F.lit("phone"), F.concat(F.lit("p"), F.col("doc_id")), F.lit("where"), F.lit(None).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    two = F.when(third == 0, F.create_map(F.lit("a"), F.lit("leaf"))).when(third == 1, F.create_map(F.lit("c.d"), F.lit("under"))).otherwise(F.create_map().cast("map<string,string>"))
+    m = _docs(spark, d).select("doc_id", extract.merge_memory(base, F.map_concat(one, two)).alias("m"))
+    return m.select("doc_id", *[F.col("m")[k].alias(n) for k, n in (("who", "who"), ("where", "where"), ("phone", "phone"), ("a.b", "deep"), ("a", "top"), ("c.d", "under"))])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import extract
 from ledgerloom.operators import resumes, sections
 
-TEXTS = [(1, None), (2, ""), (3, "word " * 700), (4, "a\n" * 900 + "\r\nlast"), (5, "x" * 3000), (6, "one. two! " * 600 + "\n\n" + "p\n\n" * 40), (7, "HEADING ONE\n" + "body " * 30 + "\n2. Second\ntiny\nLabel:\n" + "more " * 40)]
+TEXTS = [(1, None), (2, ""), (3, "word " * 700), (4, "a\n" * 900 + "\r\nlast"), (5, "x" * 3000), (6, "one. two! " * 600 + "\n\n" + "p\n\n" * 40), (9, "z" * 2500 + ". end. " + "mid " * 300), (7, "HEADING ONE\n" + "body " * 30 + "\n2. Second\ntiny\nLabel:\n" + "more " * 40)]
 
 
 def test_smart_chunks_cover_the_text(spark):
@@ -19,6 +19,32 @@ def test_smart_chunks_cover_the_text(spark):
         assert all(re.sub(r"\s", "", c) in plain for c in chunks) and sum(len(re.sub(r"\s", "", c)) for c in chunks) >= len(plain)
 
 
+def sentence_chunks(text, size, overlap):
+    out, held = [], []
+    for s in filter(None, re.split(r"(?<=[.!?])\s+", (text or "").strip())):
+        if len(" ".join([*held, s])) <= size:
+            held.append(s)
+            continue
+        out += [" ".join(held)] if held else []
+        if len(s) > size:
+            out += [s[i : i + size] for i in range(0, len(s) - overlap, size - overlap)]
+            held = []
+        else:
+            while held and (len(" ".join(held)) > overlap or len(" ".join([*held, s])) > size):
+                held = held[1:]
+            held = [*held, s]
+    return out + ([" ".join(held)] if held else [])
+
+
+def test_sentence_chunks(spark):
+    """Chunks stay within the size, and what a chunk doesn't share with the one before gives the text again."""
+    texts = [*TEXTS, (8, "Short one. " * 3 + "y" * 90 + ". " + "Next! And? " * 9), (10, "Abc def. " * 20 + "x" * 60 + ".")]
+    got = sections.chunk_sentences(spark.createDataFrame(texts, "k int, text string"), "k", size=60, overlap=25).collect()
+    for k, text in texts:
+        chunks = [r.text for r in sorted(got, key=lambda r: r.chunk) if r.k == k]
+        assert chunks == sentence_chunks(text, 60, 25) and all(0 < len(c) <= 60 for c in chunks)
+
+
 def test_packed_paragraphs_rebuild_the_text(spark):
     got = sections.pack_paragraphs(spark.createDataFrame(TEXTS, "k int, text string"), "k", most=1000, least=100).collect()
     for k, text in TEXTS:
@@ -38,6 +64,8 @@ def test_values_in_texts(spark):
     assert all(r.got == r.want for r in got)
     c = spark.createDataFrame([("5 năm java, golang",), ("javascripts googlenet",), (None,)], "t string").select(extract.candidate_criteria(F.col("t")).alias("c")).collect()
     assert [(list(r.c.skills), r.c.min_exp) for r in c] == [(["Java", "Golang"], 5), ([], None), ([], None)]
+    c = spark.createDataFrame([("C++ and c# developer 3 nam",)], "t string").select(extract.candidate_criteria(F.col("t")).alias("c")).first().c
+    assert (list(c.skills), c.min_exp) == (["C#", "C++"], 3)
     n = spark.createDataFrame([("Resume\nLê Van An\nx", "a.pdf"), ("lower case words here too many", "cv-nguyen_b.pdf"), (None, "x.pdf")], "t string, f string").select(extract.guess_name(F.col("t"), F.col("f")).alias("n")).collect()
     assert [r.n for r in n] == ["Lê Van An", "Cv Nguyen B", "X"]
 
