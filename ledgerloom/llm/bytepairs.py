@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType
+from pyspark.sql.types import BinaryType, LongType
 
 from .shared import table, written
 
@@ -116,31 +116,25 @@ def _shared(spark: SparkSession, column: pa.ChunkedArray):
 
 
 def _coder(spark: SparkSession, words_of_hot: pa.ChunkedArray):
-    """Two Arrow functions of an array of words. One gives (n, codes): places in the broadcast table from 1 on, 0 for words that aren't there. The other gives those words in order."""
+    """An Arrow function of an array of words. It gives the codes as one value, places in the broadcast table from 1 on and 0 for words that aren't there, and after it those words in order."""
     hot = _shared(spark, words_of_hot)
 
-    def looked_up(col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
-        """(where each text's words end, the words' places, the words): the distinct words of a batch are matched to the broadcast ones."""
-        got = col.flatten().dictionary_encode()
+    @F.arrow_udf("array<binary>")
+    def code(col: pa.Array) -> pa.Array:
+        got, ends = col.flatten().dictionary_encode(), _ends(col)
         place = pc.index_in(got.dictionary, value_set=pa.ipc.open_stream(hot.value).read_all()["c"].combine_chunks())
         codes = (place.fill_null(-1).to_numpy(zero_copy_only=False) + 1).astype("<u4")[got.indices.to_numpy(zero_copy_only=False)]
-        return _ends(col), codes, got
-
-    @F.arrow_udf("struct<n: int, codes: binary>")
-    def coded(col: pa.Array) -> pa.Array:
-        ends, codes, _ = looked_up(col)
-        zstd = pa.Codec("zstd", compression_level=7)
-        packed = [zstd.compress(np.ascontiguousarray(codes[a:b].view(np.uint8).reshape(-1, 4).T[:3]).tobytes(), asbytes=True) for a, b in zip(ends, ends[1:], strict=False)]
-        return pa.StructArray.from_arrays([pa.array(np.diff(ends).astype(np.int32)), pa.array(packed, pa.binary())], ["n", "codes"])
-
-    @F.arrow_udf("array<string>")
-    def cold(col: pa.Array) -> pa.Array:
-        ends, codes, got = looked_up(col)
         missing = codes == 0
-        rest = got.dictionary.take(got.indices.filter(pa.array(missing)))
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(missing)])[ends].astype(np.int32)), rest)
+        rest = got.dictionary.take(got.indices.filter(pa.array(missing))).cast(pa.binary())
+        seen = np.concatenate([[0], np.cumsum(missing)])[ends]
+        zstd = pa.Codec("zstd", compression_level=7)
+        out = []
+        for a, b, c, d in zip(ends, ends[1:], seen, seen[1:], strict=False):
+            planes = np.ascontiguousarray(codes[a:b].view(np.uint8).reshape(-1, 4).T[:3]).tobytes()
+            out.append([int(b - a).to_bytes(4, "little") + zstd.compress(planes, asbytes=True), *rest.slice(c, d - c).to_pylist()])
+        return pa.array(out, pa.list_(pa.binary()))
 
-    return coded, cold
+    return code
 
 
 def _ends(lists: pa.ListArray) -> np.ndarray:
@@ -153,7 +147,7 @@ def _joiner(spark: SparkSession, ids_of_hot: pa.ChunkedArray):
     shared = _shared(spark, ids_of_hot)
     held: list[np.ndarray] = []
 
-    def ids_of(n: pa.Array, codes: pa.Array, cold: pa.Array) -> pa.Array:
+    def ids_of(codes: pa.Array, cold: pa.Array) -> pa.Array:
         if not held:
             told = pa.ipc.open_stream(shared.value).read_all()["c"]
             sizes = np.concatenate([[0], pc.binary_length(told).to_numpy() // 4]).astype(np.int32)
@@ -161,8 +155,9 @@ def _joiner(spark: SparkSession, ids_of_hot: pa.ChunkedArray):
         sizes, flat = held
         starts = np.concatenate([[0], np.cumsum(sizes)])
         out, ends = [], [0]
-        for size, packed, rest in zip(n.to_pylist(), codes.to_pylist(), cold.to_pylist(), strict=True):
-            planes = np.frombuffer(pa.decompress(packed, 3 * size, "zstd", asbytes=True), np.uint8).reshape(3, size).astype(np.int64)
+        for packed, rest in zip(codes.to_pylist(), cold.to_pylist(), strict=True):
+            size = int.from_bytes(packed[:4], "little")
+            planes = np.frombuffer(pa.decompress(packed[4:], 3 * size, "zstd", asbytes=True), np.uint8).reshape(3, size).astype(np.int64)
             code = planes[0] | planes[1] << 8 | planes[2] << 16
             length, other = sizes[code].astype(np.int64), code == 0
             rest = rest or []
@@ -180,20 +175,20 @@ def _joiner(spark: SparkSession, ids_of_hot: pa.ChunkedArray):
         return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(out) if out else np.empty(0, np.int32)))
 
     @F.arrow_udf("array<int>")
-    def join(n: pa.Array, codes: pa.Array, cold: pa.Array) -> pa.Array:
-        return _in_slices(ids_of, n, codes, cold)
+    def join(codes: pa.Array, cold: pa.Array) -> pa.Array:
+        return _in_slices(ids_of, codes, cold)
 
-    return join
+    return join.asNondeterministic()  # so that plans don't work it out again for each use of the ids
 
 
-def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(__row, key, text): the key itself where it is a whole number that no two rows share, else numbers given once, in a written table."""
+def _rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """(__row, key, __text), and whether the row is the key itself: where that is a whole number that no two rows share. Else rows are numbered once, in a written table."""
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    if isinstance(docs.schema[key].dataType, IntegerType | LongType):
+    if isinstance(docs.schema[key].dataType, LongType):
         seen = rows.agg(F.count("*").alias("n"), F.count_distinct(key).alias("k")).first()
         if seen.n == seen.k:
-            return rows.select(F.col(key).cast("long").alias("__row"), key, "__text")
-    return written(rows.select(F.monotonically_increasing_id().alias("__row"), key, "__text"), "numbered")
+            return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("__row"), key, "__text"), True
+    return written(rows.select(F.monotonically_increasing_id().alias("__row"), key, "__text"), "numbered"), False
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
@@ -203,17 +198,18 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str
     in a text are encoded as such. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    rows = _rows(docs, key, text).withColumn("words", words(F.col("__text"), list(tokenizer.added()))).drop("__text")
+    rows, named = _rows(docs, key, text)
+    rows = rows.withColumn("words", words(F.col("__text"), list(tokenizer.added()))).drop("__text")
     coded = word_table(spark, rows, tokenizer)
     often = _often(coded, hot)
     top = coded.where(often).select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    coder, colder = _coder(spark, top["word"])
-    split = rows.withColumn("c", coder("words")).select("__row", key, "c.*")
-    cold = rows.select("__row", F.posexplode(colder("words")).alias("at", "word")).join(coded.where(~often).select("word", "ids"), "word")
+    split = rows.select("__row", _coder(spark, top["word"])("words").alias("c")).repartition("__row")  # one exchange, read twice
+    rest = F.posexplode(F.slice("c", F.lit(2), F.size("c"))).alias("at", "word")
+    cold = split.select("__row", rest).withColumn("word", F.col("word").cast("string")).join(coded.where(~often).select("word", "ids"), "word")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])
     cold = cold.groupBy("__row").agg(ordered.alias("cold"))
-    both = split.join(cold, "__row", "left")
-    return both.select(key, _joiner(spark, top["ids"])("n", "codes", "cold").alias("ids"))
+    both = split.join(cold, "__row", "left").select("__row", _joiner(spark, top["ids"])(F.get("c", F.lit(0)), "cold").alias("ids"))
+    return both.select(F.col("__row").alias(key), "ids") if named else both.join(rows.select("__row", key), "__row").select(key, "ids")
 
 
 def decode(tokens: DataFrame, tokenizer: Tokenizer, ids: str = "ids", text: str = "text") -> DataFrame:
