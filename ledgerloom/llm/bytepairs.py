@@ -119,8 +119,7 @@ def _coder(spark: SparkSession, words_of_hot: pa.ChunkedArray):
     """An Arrow function of an array of words. It gives the codes as one value, places in the broadcast table from 1 on and 0 for words that aren't there, and after it those words in order."""
     hot = _shared(spark, words_of_hot)
 
-    @F.arrow_udf("array<binary>")
-    def code(col: pa.Array) -> pa.Array:
+    def codes_of(col: pa.Array) -> pa.Array:
         got, ends = col.flatten().dictionary_encode(), _ends(col)
         place = pc.index_in(got.dictionary, value_set=pa.ipc.open_stream(hot.value).read_all()["c"].combine_chunks())
         codes = (place.fill_null(-1).to_numpy(zero_copy_only=False) + 1).astype("<u4")[got.indices.to_numpy(zero_copy_only=False)]
@@ -134,6 +133,10 @@ def _coder(spark: SparkSession, words_of_hot: pa.ChunkedArray):
             out.append([int(b - a).to_bytes(4, "little") + zstd.compress(planes, asbytes=True), *rest.slice(c, d - c).to_pylist()])
         return pa.array(out, pa.list_(pa.binary()))
 
+    @F.arrow_udf("array<binary>")
+    def code(col: pa.Array) -> pa.Array:
+        return _in_slices(codes_of, col, rows=2000)
+
     return code
 
 
@@ -178,7 +181,7 @@ def _joiner(spark: SparkSession, ids_of_hot: pa.ChunkedArray):
     def join(codes: pa.Array, cold: pa.Array) -> pa.Array:
         return _in_slices(ids_of, codes, cold)
 
-    return join.asNondeterministic()  # so that plans don't work it out again for each use of the ids
+    return join
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
@@ -259,5 +262,5 @@ def op12_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = Tokenizer.load(public_tokenizers.path("byte_bpe_50k.json"))
-    tokens = decode(encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer)
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(packed("ids"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    tokens = decode(encode(table(spark, sf_dir, "documents"), tokenizer), tokenizer).select("doc_id", packed("ids").alias("ids"), "text")
+    return tokens.select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
