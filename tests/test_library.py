@@ -210,7 +210,7 @@ def test_leaderboard_and_heuristic_bounds(spark):
 
 def test_registry_has_sql_for_queries():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
-    assert set(registry.QUERIES) - set(registry.ORACLES) <= {"rate_limit", "dedupe_turns_ttl", "rouge_l", "pack_paragraphs"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) <= {"rouge_l"}
 
 
 @pytest.mark.parametrize("name", ["bm25_topk", "group_candidates", "trace_metrics", "upsert_facts", "align_quotes", "fact_conflicts"])
