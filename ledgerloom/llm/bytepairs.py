@@ -8,9 +8,11 @@ Every text, of any length, takes both ways at once: nothing depends on how many
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,16 +72,24 @@ def words(col, added: list[str] = ()):
     return F.when(col.rlike(mark), several).otherwise(cut(col))
 
 
+@lru_cache(maxsize=1)
+def _library(source: str):
+    """The library's tokenizer, made once for each Python worker; a task is one thread."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_str(source)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
 def word_table(spark: SparkSession, split: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """(word, n, ids, hot): each distinct word of ``split`` (words) with its count and its ids as little-endian numbers of 32 bits, written."""
     source = spark.sparkContext.broadcast(tokenizer.source)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tokenizers
-
-        library = tokenizers.Tokenizer.from_str(source.value)
-        library.no_truncation()
-        library.no_padding()
+        library = _library(source.value)
         for b in batches:
             coded = library.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(c.ids, "<u4").tobytes() for c in coded], pa.binary())], ["word", "n", "ids"])
