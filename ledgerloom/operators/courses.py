@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.guards import any_of
-from ..functions.textnorm import norm_ascii
+from ..functions.guards import any_of, parse_grouped_vnd, parse_money
+from ..functions.spans import AFTER, BEFORE, matches, number
+from ..functions.textnorm import norm_ascii, strip_accents
 
 # Words that tell a section's kind, words that name no course, and the phone shapes.
 TUITION_WORDS = ("hoc phi", "phi", "uu dai", "hoc bong")
@@ -138,3 +139,36 @@ def combo_price(requests: DataFrame, courses: DataFrame, most: float = 50) -> Da
     percent = F.when((F.col("percent") > 0) & (F.col("percent") <= most), F.col("percent"))
     told = two.join(requests.select("request", "fees", percent.alias("percent")), "request")
     return told.select("request", "base", "percent", (F.col("base") - F.coalesce(F.bround(F.col("base") * F.col("percent") / 100), F.lit(0)) + F.coalesce("fees", F.lit(0))).cast("long").alias("final"))
+
+
+def _fee(col):
+    return F.coalesce(parse_money(col), parse_grouped_vnd(col))
+
+
+def course_fees(texts: DataFrame, least: int = 1_000_000) -> DataFrame:
+    """(tenant, pos, key, fee): the largest fee of each name in each text.
+
+    A line with a colon names a course, without the words for one, and the first amount of ``least`` or more behind the colon or on the lines that follow is its
+    fee. A blank line or another colon ends that; names below three characters name nothing.
+    """
+    lines = texts.select("tenant", "pos", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]")).alias("n", "line")).withColumn("line", F.trim("line"))
+    colon = F.col("line").contains(":")
+    left = F.regexp_replace(F.substring_index("line", ":", 1), rf"(?iu){BEFORE}(hoc phi|khoa|lop){AFTER}", " ")
+    name = F.regexp_replace(F.regexp_replace(left, r"\s+", " "), r"^[ \-\t]+|[ \-\t]+$", "")
+    amount = _fee(F.when(colon, F.regexp_replace("line", r"^[^:]*:", "")).otherwise(F.col("line")))
+    parts = Window.partitionBy("tenant", "pos").orderBy("n")
+    told = lines.select("tenant", "pos", "n", F.sum((colon | (F.col("line") == "")).cast("int")).over(parts).alias("part"), F.when(colon & (F.length(name) >= 3), norm_ascii(name)).alias("key"), F.when(amount >= least, amount).alias("fee"))
+    first = told.groupBy("tenant", "pos", "part").agg(F.min_by("key", "n").alias("key"), F.min_by("fee", F.when(F.col("fee").isNotNull(), F.col("n"))).alias("fee"))
+    return first.where("key <> '' and fee is not null").groupBy("tenant", "pos", "key").agg(F.max("fee").alias("fee"))
+
+
+def course_catalog(texts: DataFrame) -> DataFrame:
+    """(tenant, key, name, months, fee): courses with a duration ("1.2. Name (6 tháng)") and courses with a fee, as one; of several texts the last one that tells a value counts."""
+    plain = strip_accents(F.coalesce("text", F.lit("")), map_d=True)
+    titled = matches(plain, rf"(?iu){BEFORE}[0-9]+\.[0-9]+\.\s*[^(\n]{{3,80}}\([0-9]+(?:[.,][0-9]+)?\s*thang{AFTER}")
+    each = texts.select("tenant", "pos", F.posexplode(titled).alias("n", "m")).select("tenant", "pos", "n", F.regexp_replace(F.trim(F.regexp_extract("m.text", r"^[0-9]+\.[0-9]+\.\s*([^(\n]{3,80})\(", 1)), r"\s+", " ").alias("name"), number(F.regexp_extract("m.text", r"\(([0-9]+(?:[.,][0-9]+)?)", 1)).alias("months"))
+    each = each.where("name <> ''").withColumn("key", norm_ascii(F.col("name")))
+    durations = each.groupBy("tenant", "key").agg(F.min_by("name", F.struct("pos", "n")).alias("name"), F.max_by("months", F.struct("pos", "n")).alias("months"))
+    fees = course_fees(texts).groupBy("tenant", "key").agg(F.max_by("fee", "pos").alias("fee"))
+    both = durations.join(fees, ["tenant", "key"], "full_outer")
+    return both.select("tenant", "key", F.initcap(F.lower(F.coalesce("name", "key"))).alias("name"), "months", "fee")

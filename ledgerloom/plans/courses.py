@@ -126,3 +126,23 @@ def resolve_discounts(spark, d):
 @query("price_range", "with p as (select l_orderkey as request, cast(floor(l_extendedprice) as bigint) as price from lineitem), r as (select request, min(price) as low, max(price) as high from p group by request) select *, case when low = high then low end as final from r")
 def price_range(spark, d):
     return ops.price_range(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request"), F.floor("l_extendedprice").alias("price")))
+
+
+#: A part's text names one of 300 courses of its brand: its duration, and its fee behind the colon, on the next line, after a line without one, or cut off by a blank line.
+COURSE_TEXT = "'Mục lục' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '1.' || (1 + p_partkey % 9) || '. Khóa X' || (p_partkey % 300) || '  Pro (' || (1 + p_size % 12) || ',5 tháng)' || chr(10) ELSE '' END || 'Hoc phi khoa x' || (p_partkey % 300) || ' pro:' || CASE p_partkey % 5 WHEN 0 THEN ' ' || (1 + p_size) || '.500.000 VND' WHEN 1 THEN chr(10) || (2 + p_size) || ' tr' WHEN 2 THEN ' xem dưới' || chr(10) || 'giá 500k' || chr(10) || 'hay ' || (3 + p_size) || '.100.000' WHEN 3 THEN chr(10) || chr(10) || '9 tr' ELSE ' ' || (p_size) || '00k' END"
+FEES = """n as (select p_partkey as pos, p_brand as tenant, p_partkey % 300 as c, p_size as z, p_partkey % 5 as k from part),
+fe as (select tenant, pos, 'x' || c || ' pro' as key, cast(case k when 0 then (1 + z) * 1000000 + 500000 when 1 then (2 + z) * 1000000 when 2 then (3 + z) * 1000000 + 100000 when 4 then z * 100000 end as bigint) as fee from n where k <> 3 and (k <> 4 or z >= 10))"""
+
+
+def _course_texts(spark, d):
+    return table(spark, d, "part").select(F.col("p_brand").alias("tenant"), F.col("p_partkey").alias("pos"), F.expr(COURSE_TEXT).alias("text"))
+
+
+@query("course_fees", f"with {FEES} select * from fe")
+def course_fees(spark, d):
+    return ops.course_fees(_course_texts(spark, d))
+
+
+@query("course_catalog", f"with {FEES}, lf as (select tenant, key, arg_max(fee, pos) as fee from fe group by all), du as (select tenant, 'khoa x' || c || ' pro' as key, arg_max(1.5 + z % 12, pos) as months from n where pos % 3 = 0 group by all) select coalesce(du.tenant, lf.tenant) as tenant, coalesce(du.key, lf.key) as key, case when du.key is not null then 'Khoa X' || regexp_extract(du.key, '[0-9]+') || ' Pro' else 'X' || regexp_extract(lf.key, '[0-9]+') || ' Pro' end as name, cast(months as double) as months, fee from du full join lf on du.tenant = lf.tenant and du.key = lf.key")
+def course_catalog(spark, d):
+    return ops.course_catalog(_course_texts(spark, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extract
-from ..operators import courses, kmaps, sections, structure
+from ..operators import courses, enrich, kmaps
 from ..registration import query
 from ..tables import table
 from .courses import _sections
@@ -130,3 +130,62 @@ def normalize_maps(spark, d):
 def run_stats(spark, d):
     e = F.col("event_type")
     return kmaps.run_stats(table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("entity_id"), e.isin("click", "view").alias("called"), (e == "click").alias("succeeded")))
+
+
+def _score(bucket: str) -> str:
+    words = enrich.BUCKETS[bucket]
+    hits = lambda c: "(" + " + ".join(f"case when contains({c}, '{w}') then 2 + least(8, (length({c}) - length(replace({c}, '{w}', ''))) // {len(w)}) else 0 end" for w in words) + ")"
+    return f"{hits('t')} + 2 * {hits('h')}"
+
+
+_TEXT = "lower(strip_accents(replace(replace({}, chr(13) || chr(10), chr(10)), chr(13), chr(10))))"
+BUCKETS = rf"""{KS}, bt as (select doc, idx, heading, body, {_TEXT.format('heading')} as h, {_TEXT.format('heading')} || chr(10) || {_TEXT.format('body')} as t from ks),
+bs as (select doc, idx, heading, body, cast({_score('course_info')} as double) as course_info, cast({_score('tuition')} + case when regexp_matches(t, '(^|[^\p{{L}}\p{{N}}_])(vnd|đ|dong|trieu)($|[^\p{{L}}\p{{N}}_])') or regexp_matches(t, '[0-9][0-9., ]{{3,}}\s*(đ|vnd|dong)') then 6 else 0 end as double) as tuition, cast({_score('policy')} as double) as policy,
+  cast({_score('schedule')} + case when regexp_matches(t, '\b[0-9]{{1,2}}[/-][0-9]{{1,2}}([/-][0-9]{{2,4}})?\b') or contains(t, 'khai giang') then 5 else 0 end + case when regexp_matches(t, '\b[0-9]{{1,2}}[:h][0-9]{{0,2}}\b') then 2 else 0 end as double) as schedule from bt),
+bu as ({' union all '.join(f"select doc, idx, heading, body, '{b}' as bucket, {b} as raw, round({b} - 0.7 * greatest({', '.join(x for x in enrich.BUCKETS if x != b)}), 6) as adjusted from bs" for b in enrich.BUCKETS)}),
+br as (select * from (select *, cast(row_number() over (partition by doc, bucket order by adjusted desc, idx) as int) as rank from bu where adjusted > 0) where rank <= 4),
+bx as (select doc, bucket, {_s("string_agg('[' || heading || '] (score=' || cast(cast(raw as bigint) as varchar) || ', adj=' || format('{:.1f}', adjusted) || ')' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank)")} as text from br group by doc, bucket)"""
+
+
+@query("bucket_sections", BUCKETS + " select doc, bucket, rank, idx, raw, adjusted from br")
+def bucket_sections(spark, d):
+    return enrich.bucket_sections(_ks(spark, d))
+
+
+@query("bucket_texts", BUCKETS + " select doc, bucket, text from bx")
+def bucket_texts(spark, d):
+    s = _ks(spark, d)
+    return enrich.bucket_texts(enrich.bucket_sections(s), s)
+
+
+#: Documents that follow the template in part: their own text stands under the numbers.
+OUTLINE = "'Mở đầu' || chr(10) || CASE doc_id % 4 WHEN 0 THEN 'Mục 5: khóa học' || chr(10) || text || chr(10) || '  muc 06 hoc phi' || chr(10) || 'x' || chr(10) || 'MỤC 7' || chr(10) || '8) chinh sach' || chr(10) || lang || chr(10) || '9. y' || chr(10) || '10. lich' || chr(10) || source WHEN 1 THEN '5. only' || chr(10) || source || chr(10) || '15. no' ELSE text END"
+TEMPLATE = f"ou as (select doc_id as doc, {OUTLINE} as text, text as own, lang, source from documents)"
+TEMPLATED = f"""{TEMPLATE}, te as (select doc, b.bucket, {_s("case doc % 4 when 0 then case b.bucket when 'course_info' then 'Mục 5: khóa học' || chr(10) || own when 'tuition' then 'muc 06 hoc phi' || chr(10) || 'x' when 'policy' then '8) chinh sach' || chr(10) || lang else '10. lich' || chr(10) || source end when 1 then case when b.bucket = 'course_info' then '5. only' || chr(10) || source || chr(10) || '15. no' else '' end else case when b.bucket = 'course_info' then text else '' end end")} as text from ou, (values ('course_info'), ('tuition'), ('policy'), ('schedule')) b(bucket))"""
+
+
+def _template(spark, d):
+    return enrich.template_buckets(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.expr(OUTLINE).alias("text")))
+
+
+@query("numbered_section", f"with {TEMPLATED} select * from te")
+def numbered_section(spark, d):
+    return _template(spark, d)
+
+
+@query("fill_missing_buckets", f"with {TEMPLATED}, n as (select *, sum(case when text = '' then 1 else 0 end) over (partition by doc) as n from te) select doc, bucket, case when text = '' and n >= 2 then case when doc % 3 = 0 then '' else bucket || doc end else text end as text from n")
+def fill_missing_buckets(spark, d):
+    t = _template(spark, d)
+    other = t.where("doc % 3 <> 0").select("doc", "bucket", F.concat("bucket", F.col("doc").cast("string")).alias("text"))
+    return enrich.fill_missing_buckets(t, other)
+
+
+@query("normalize_courses", """select p_partkey, p_brand as tenant, case p_partkey % 3 when 0 then lower(p_brand) || ':c' || p_partkey else p_brand || ':' || 'c_' || p_partkey end as course_id, p_name as content, case when p_size % 2 = 0 then p_type else p_brand end as category,
+case p_size % 3 when 0 then cast(p_partkey * 1000 as double) when 1 then floor((p_size + 0.5) * 1000000) end as tuition, case when p_size % 4 = 0 then 'May' else 'Liên hệ để cập nhật lịch mới nhất' end as next_opening from part where p_size % 11 <> 0 and p_size % 13 <> 0""")
+def normalize_courses(spark, d):
+    z, k = F.col("p_size"), F.col("p_partkey")
+    rows = table(spark, d, "part").select(
+        F.col("p_brand").alias("tenant"), F.when(z % 11 == 0, " ").when(k % 3 == 0, F.concat(F.lower("p_brand"), F.lit(":c"), k.cast("string"))).otherwise(F.concat(F.lit("C -"), k.cast("string"), F.lit("!"))).alias("course_id"), F.when(z % 13 == 0, "\n").otherwise(F.concat(F.lit(" "), F.col("p_name"))).alias("content"),
+        F.when(z % 2 == 0, F.col("p_type")).alias("category"), F.when(z % 3 == 0, F.concat(k.cast("string"), F.lit(".000 VND"))).when(z % 3 == 1, F.concat(z.cast("string"), F.lit(",5 triệu"))).alias("tuition"), F.when(z % 4 == 0, "May").alias("next_opening"),
+    )
+    return enrich.normalize_courses(rows).withColumn("p_partkey", F.regexp_extract("course_id", "([0-9]+)$", 1).cast("long"))
