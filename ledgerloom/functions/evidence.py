@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .guards import any_of, parse_money
-from .spans import AFTER, APART, BEFORE, around, matches, number
+from .spans import AFTER, APART, BEFORE, around, let, matches, number
 from .textnorm import strip_accents
 
 # Words near an amount that tell tuition from fees, and how values are written.
@@ -45,13 +45,17 @@ def extract_evidence(col, split_fees: bool = True, least: int = 1_000_000, size:
         return F.struct(amount.alias("amount"), (((amount < least) | any_of(near, FEE_NEAR)) & ~tuition).alias("fee"))
 
     amounts = F.filter(F.transform(money, told), lambda m: m["amount"].isNotNull())
-    values = lambda f: _sorted(F.transform(F.filter(amounts, f) if f else amounts, lambda m: m["amount"]))
 
     def field(name):
         pattern, kind = FIELDS[name]
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
         return _sorted(F.transform(found, lambda v: number(v).cast(kind) if kind != "string" else v))
 
+    return let(amounts, lambda told: _evidence(told, field, split_fees))
+
+
+def _evidence(amounts, field, split_fees: bool):
+    values = lambda f: _sorted(F.transform(F.filter(amounts, f) if f else amounts, lambda m: m["amount"]))
     out = {n: field(n) for n in ("duration_months", "duration_weeks")}
     out |= {"tuition_vnd": values(lambda m: ~m["fee"]) if split_fees else values(None)} | ({"fees_vnd": values(lambda m: m["fee"])} if split_fees else {})
     out |= {n: field(n) for n in ("ielts_target", "toeic_target", "cefr_target")}
@@ -65,7 +69,7 @@ def coerce_evidence(told, text):
     kind = F.schema_of_variant(value)
     listed = F.array_join(F.transform(F.from_json(told, "array<string>"), lambda x: F.coalesce(x, F.lit("None"))), " | ")
     said = F.when(kind.startswith("ARRAY"), listed).when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-    parsed = extract_evidence(F.concat_ws("\n", said, F.coalesce(text, F.lit(""))), split_fees=False)
+    read = extract_evidence(F.concat_ws("\n", said, F.coalesce(text, F.lit(""))), split_fees=False)
     names = {"duration_months": "array<double>", "duration_weeks": "array<double>", "tuition_vnd": "array<bigint>", "ielts_target": "array<double>", "toeic_target": "array<int>", "cefr_target": "array<string>"}
     own = F.from_json(F.when(kind.startswith("OBJECT"), told), ", ".join(f"{n} {k}" for n, k in names.items()))
-    return F.struct(*[F.coalesce(own[n], parsed[n]).alias(n) for n in names])
+    return let(F.struct(own.alias("own"), read.alias("read")), lambda x: F.struct(*[F.coalesce(x["own"][n], x["read"][n]).alias(n) for n in names]))

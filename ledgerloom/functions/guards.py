@@ -123,7 +123,7 @@ def parse_money(col):
 
     def scaled(pattern, factor):
         number = F.regexp_extract(raw, pattern, 1)
-        return F.when(number != "", F.bround(F.replace(number, F.lit(","), F.lit(".")).cast("double") * factor).cast("long"))
+        return F.when(number != "", F.bround(F.replace(number, F.lit(","), F.lit(".")).cast("double") * factor).try_cast("long"))
 
     grouped = F.regexp_replace(F.regexp_extract(raw, r"(\d[\d., ]{4,})\s*(?:vnd|dong)\b", 1), r"\D", "")
     return F.coalesce(
@@ -131,14 +131,14 @@ def parse_money(col):
         scaled(r"(?U)(\d+(?:[.,]\d+)?)\s*(?:cu|củ)\b", 1_000_000),
         scaled(r"(?U)(\d+(?:[.,]\d+)?)\s*tr\b", 1_000_000),
         scaled(r"(\d+(?:[.,]\d+)?)\s*tri[eệ]u", 1_000_000),
-        F.when(F.length(grouped) >= 5, grouped.cast("long")),
+        F.when(F.length(grouped) >= 5, grouped.try_cast("long")),
     )
 
 
 def parse_grouped_vnd(col):
     """9.500.000 -> 9500000."""
     found = F.regexp_extract(col, r"(\d{1,3}(?:[.,]\d{3})+)", 1)
-    return F.when(found != "", F.regexp_replace(found, "[.,]", "").cast("long"))
+    return F.when(found != "", F.regexp_replace(found, "[.,]", "").try_cast("long"))
 
 
 def format_vnd(col):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .guards import any_of, parse_money, price_after_discount
-from .spans import AFTER, BEFORE, around, matches, number, overlaps
+from .spans import AFTER, BEFORE, around, let, matches, number, overlaps
 from .textnorm import norm_ascii
 
 # How amounts and discounts are written, and words that tell what an amount is for.
@@ -33,25 +33,29 @@ def tuition_args(col):
     (the largest), those near a word for fees are surcharges, and without a base price the largest of the rest is it. "Near" is 40 characters.
     """
     q = F.trim(F.coalesce(col, F.lit("")))
-    norm, cash = norm_ascii(q), _cash(q)
-    percent = F.regexp_extract(q, PERCENT, 1)
-    percent = F.when(percent != "", number(percent))
-    amount = F.get(F.filter(cash, lambda c: c["amount"] > 0), F.lit(0))["amount"]
+    percent = number(F.nullif(F.regexp_extract(q, PERCENT, 1), F.lit("")))
     every = F.concat(*[matches(q, f"(?iu){BEFORE}{p}{AFTER}") for p in AMOUNTS])
-    told = F.transform(F.filter(every, lambda m: ~overlaps(m, cash)), lambda m: F.struct(parse_money(m["text"]).alias("amount"), m["text"].alias("label"), norm_ascii(around(q, m, 40)).alias("near")))
-    told = F.filter(told, lambda m: m["amount"] > 0)
     price = lambda m: (m["amount"] >= 1_000_000) & any_of(m["near"], PRICE_WORDS)
     fee = lambda m: ~price(m) & any_of(m["near"], FEE_WORDS)
-    largest = lambda f: F.array_max(F.transform(F.filter(told, f), lambda m: m["amount"]))
-    return F.struct(
-        F.coalesce(largest(price), largest(lambda m: ~price(m) & ~fee(m))).alias("base_price"),
-        percent.alias("discount_percent"),
-        F.when(percent.isNull(), amount).alias("discount_cash"),
-        F.when(percent.isNotNull(), "percent").when(amount.isNotNull(), "cash").alias("discount_type"),
-        F.when(any_of(norm, ON_TOTAL), "total").otherwise("tuition").alias("discount_scope"),
-        F.when(any_of(norm, MONTHLY), "per_month").otherwise("one_time").alias("discount_period"),
-        F.transform(F.filter(told, fee), lambda m: F.struct(m["amount"], F.trim(m["label"]).alias("label"))).alias("surcharges"),
-    )
+
+    def amounts(cash):
+        told = F.transform(F.filter(every, lambda m: ~overlaps(m, cash)), lambda m: F.struct(parse_money(m["text"]).alias("amount"), m["text"].alias("label"), norm_ascii(around(q, m, 40)).alias("near")))
+        off = F.get(F.filter(cash, lambda c: c["amount"] > 0), F.lit(0))["amount"]
+        return F.struct(off.alias("off"), F.filter(told, lambda m: m["amount"] > 0).alias("told"), norm_ascii(q).alias("norm"))
+
+    def args(x):
+        largest = lambda f: F.array_max(F.transform(F.filter(x["told"], f), lambda m: m["amount"]))
+        return F.struct(
+            F.coalesce(largest(price), largest(lambda m: ~price(m) & ~fee(m))).alias("base_price"),
+            percent.alias("discount_percent"),
+            F.when(percent.isNull(), x["off"]).alias("discount_cash"),
+            F.when(percent.isNotNull(), "percent").when(x["off"].isNotNull(), "cash").alias("discount_type"),
+            F.when(any_of(x["norm"], ON_TOTAL), "total").otherwise("tuition").alias("discount_scope"),
+            F.when(any_of(x["norm"], MONTHLY), "per_month").otherwise("one_time").alias("discount_period"),
+            F.transform(F.filter(x["told"], fee), lambda m: F.struct(m["amount"], F.trim(m["label"]).alias("label"))).alias("surcharges"),
+        )
+
+    return let(let(_cash(q), amounts), args)
 
 
 def price_from_args(args):

@@ -37,3 +37,8 @@ def overlaps(span, others):
 def number(col):
     """A decimal number with a point or a comma."""
     return F.replace(col, F.lit(","), F.lit(".")).cast("double")
+
+
+def let(value, f):
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.evidence import extract_evidence
 from ..functions.extract import extract_partners, is_commercial
 from ..functions.guards import any_of, format_vnd
-from ..functions.spans import BEFORE
+from ..functions.spans import BEFORE, let
 from ..functions.textnorm import slugify, strip_accents
 from .courses import score_entity_sections, section_kind, top_sections
 from .sections import CUT, relevant_lines, strip
@@ -103,7 +103,10 @@ def entity_context(picked: DataFrame, added: DataFrame, sections: DataFrame, cap
 
 def render_cluster(name, context):
     """An entity's text: its name, partners and figures, then its context."""
-    partners, e = extract_partners(context), extract_evidence(context, split_fees=False)
+    return let(F.struct(context.alias("context"), extract_partners(context).alias("partners"), extract_evidence(context, split_fees=False).alias("e")), lambda x: _rendered(name, x["context"], x["partners"], x["e"]))
+
+
+def _rendered(name, context, partners, e):
     listed = lambda col: F.array_join(F.transform(col, lambda x: x.cast("string")), ", ")
     months = F.concat(F.lit("thời lượng "), listed(e["duration_months"]), F.lit(" tháng"))
     prices = F.concat(F.lit("học phí "), F.array_join(F.transform(F.slice(e["tuition_vnd"], 1, 3), format_vnd), ", "), F.lit(" VND"))

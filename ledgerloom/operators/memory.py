@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import mentioned_facts
+from ..functions.textnorm import strip_accents
+from .courses import extract_phone
+
 FACT = ("tenant_id", "user_id", "fact_key", "value_text")
 
 
@@ -131,3 +135,67 @@ def consent_filter(rows: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def memory_run_counts(conflicts: DataFrame) -> DataFrame:
     return conflicts.groupBy("tenant_id").agg(F.count_if(F.col("state") == "resolved").alias("resolved"), F.count_if(F.col("state") == "pending").alias("pending"))
+
+
+def extract_facts(messages: DataFrame, tools: DataFrame, sure: float = 0.85, unsure: float = 0.4) -> DataFrame:
+    """(tenant_id, user_id, fact_key, value_text, confidence, source, ttl_days): what tools and users told, a fact's first source staying.
+
+    ``messages`` (tenant_id, user_id, ts, role, content), ``tools`` (tenant_id, user_id, ts, route, metadata as JSON). Tools come before messages, earlier
+    rows before later ones; facts are the same where key and value are, apart from accents, case and blanks at the ends.
+    """
+    arg = lambda *names: F.trim(F.coalesce(*[F.nullif(F.get_json_object("metadata", f"$.extracted_args.{n}"), F.lit("")) for n in names]))
+    has_args = F.coalesce(F.get_json_object("metadata", "$.extracted_args"), F.lit("{}")).rlike(r'^\{\s*"')
+    quote = F.when(F.lower(F.trim("route")) == "tuition_calculator", _number("metadata", "computed_final_vnd"))
+    fact = lambda name, value, days: F.struct(F.lit(name).alias("fact_key"), value.alias("value_text"), F.lit(days).alias("ttl_days"))
+    by_tool = F.array(
+        fact("contact_phone", arg("phone"), 365),
+        fact("course_interest", arg("course_name", "course", "program", "course_interest"), 180),
+        fact("target_level", arg("target_level", "target_band", "target_score", "goal"), 365),
+        fact("latest_quote_vnd", F.concat(quote.cast("string"), F.lit(" VND")), 30),
+    )
+    scope = ["tenant_id", "user_id", "ts"]
+    told = lambda df, facts, conf, source, order: df.select(*scope, F.posexplode(facts).alias("pos", "f")).select(*scope, "pos", "f.*", F.lit(conf).alias("confidence"), F.lit(source).alias("source"), F.lit(order).alias("__o"))
+    every = told(tools.where(has_args), by_tool, sure, "heuristic_tool", 0).unionByName(told(messages.where(F.lower("role") == "user"), mentioned_facts(F.col("content")), unsure, "heuristic_regex", 1))
+    every = every.where("value_text <> ''").withColumn("__v", F.trim(F.lower(strip_accents(F.col("value_text"), map_d=True))))
+    first = F.row_number().over(Window.partitionBy("tenant_id", "user_id", "fact_key", "__v").orderBy("__o", "ts", "pos", "value_text"))
+    return every.withColumn("__n", first).where("__n = 1").select(*FACT, "confidence", "source", "ttl_days")
+
+
+def _number(col: str, name: str):
+    """A number of a JSON object, without its fraction; null for anything else."""
+    raw = F.get_json_object(col, f"$.{name}")
+    is_number = ~F.coalesce(F.schema_of_variant(F.variant_get(F.try_parse_json(F.col(col)), f"$.{name}", "variant")), F.lit("STRING")).isin("STRING", "BOOLEAN", "VOID")
+    return F.when(is_number, raw.try_cast("double").cast("long"))
+
+
+def entity_patch(user_text, metadata: str):
+    """map of what a turn tells of its session: a phone number, the computed total, the discount's scope where it is a text."""
+    scope = F.get_json_object(metadata, "$.discount_scope")
+    is_text = F.schema_of_variant(F.variant_get(F.try_parse_json(F.col(metadata)), "$.discount_scope", "variant")) == "STRING"
+    pairs = F.array(
+        F.struct(F.lit("phone").alias("k"), extract_phone(user_text).alias("v")),
+        F.struct(F.lit("computed_total_payable_vnd").alias("k"), _number(metadata, "computed_final_vnd").cast("string").alias("v")),
+        F.struct(F.lit("discount_scope").alias("k"), F.when(is_text, scope).alias("v")),
+    )
+    return F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
+
+
+def resolve_pending(pending: DataFrame, messages: DataFrame, sure: float = 0.95) -> DataFrame:
+    """(tenant_id, user_id, fact_key, value_text, confidence): pending conflicts (with ``options``) that the user's latest message settles.
+
+    It names an option where the option's text stands in it, apart from case and blanks, or the option's last word does as it is; exactly one different option must be named.
+    """
+    said = messages.where((F.lower("role") == "user") & (F.trim("content") != ""))
+    last = said.groupBy("tenant_id", "user_id").agg(F.max_by(F.trim("content"), F.struct("ts", "content")).alias("said"))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    named = lambda o: plain(F.col("said")).contains(plain(o)) | F.col("said").contains(F.element_at(F.split(F.trim(o), r"\s+"), -1))
+    options = F.array_distinct(F.filter(F.transform("options", F.trim), lambda o: (o != "") & named(o)))
+    told = pending.join(last, ["tenant_id", "user_id"]).withColumn("__named", options).where(F.size("__named") == 1)
+    return told.select("tenant_id", "user_id", "fact_key", F.get("__named", F.lit(0)).alias("value_text"), F.lit(sure).alias("confidence"))
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Appends events (ts in seconds, tenant_id, user_id, event_type, ...) to the log under ``path`` by day; a missing text is empty, a missing payload an empty object."""
+    from .traces import append_log
+
+    append_log(events, path, {"content_text": "", "payload": "{}"})
