@@ -27,7 +27,7 @@ from .shared import table, written
 SPACE = r"\s\x85\p{Z}"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Rows of the broadcast part of the word table, and bytes of a word in it.
-HOT, HOT_BYTES = 1 << 20, 32
+HOT, HOT_BYTES = 3 << 19, 32
 
 
 @dataclass(frozen=True)
