@@ -194,3 +194,16 @@ def test_zone_maps_leave_blocks_out():
         assert set(np.flatnonzero(((s >= low) & (s <= low + 300)).any(1)).tolist()) <= met
         asked += len(met)
     assert asked < 400
+
+
+# --- lines
+
+
+def test_lines_of_tables_with_clashing_names(spark):
+    from ledgerloom.llm import fuzzylines
+
+    names = ["__id", "__text", "__gone", "__t", "__d", "n_lines"]
+    rows = [(i, "same line of some length\nown line number %d is here" % (i * 7919), *["x"] * 6) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r.doc_id: r for r in fuzzylines.dedup_lines(df).collect()}
+    assert [got[i].n_gone for i in range(4)] == [0, 1, 1, 1] and got[1].text == "own line number 7919 is here" and got[2]["__id"] == "x"
