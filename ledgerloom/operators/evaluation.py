@@ -104,3 +104,26 @@ def rouge_l(items: DataFrame, key: str, answer: str = "answer", truth: str = "tr
 
     udf = F.pandas_udf(score, "double")
     return items.select(key, udf(tokenize(F.col(answer)), tokenize(F.col(truth))).alias("rouge_l"))
+
+
+def build_eval_items(qas: DataFrame, matched: DataFrame, fallback: DataFrame, predictions: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The evaluation items and the log of retrieved contexts, one row each for every question.
+
+    ``qas`` (tenant_id, pos, query_type, question, answer, keypoints, domain, language), ``matched`` (tenant_id, pos, quote, node, text) with the node of each quote,
+    ``fallback`` (tenant_id, pos, node, text) for questions none of whose quotes has one, ``predictions`` (tenant_id, pos, content, contexts, sources, route). The
+    first two quotes count, a node once; questions are numbered in each tenant by ``pos``; the first ``k`` contexts are kept.
+    """
+    key = ["tenant_id", "pos"]
+    ids = add_query_ids(qas, "tenant_id", "pos")
+    nodes = matched.where((F.col("quote") < 2) & F.col("node").isNotNull()).groupBy(*key, "node").agg(F.min("quote").alias("quote"), F.min_by("text", "quote").alias("text"))
+    own = nodes.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("quote", "node", "text"))).alias("refs"))
+    other = fallback.groupBy(*key).agg(F.array(F.min(F.struct(F.lit(0).alias("quote"), "node", "text"))).alias("other"))
+    rows = ids.join(own, key, "left").join(other, key, "left").join(predictions, key, "left").withColumn("refs", F.coalesce("refs", "other"))
+    none = F.array().cast("array<string>")
+    texts = F.filter(F.transform("refs", lambda r: F.coalesce(r["text"], F.lit(""))), lambda t: F.trim(t) != "")
+    truth = F.struct(F.transform("refs", lambda r: r["node"]).alias("doc_ids"), F.col("answer").alias("content"), F.coalesce(texts, none).alias("references"), "keypoints")
+    top = F.slice(F.coalesce("contexts", none), 1, k)
+    said = F.coalesce("content", F.lit(""))
+    items = rows.select("domain", "language", "tenant_id", F.struct("query_id", "query_type", F.col("question").alias("content")).alias("query"), truth.alias("ground_truth"), F.struct(said.alias("content"), top.alias("references")).alias("prediction"))
+    log = rows.select("tenant_id", "query_id", "query_type", "question", said.alias("answer"), top.alias("contexts_top_k"), F.coalesce("sources", none).alias("sources"), "route")
+    return items, log

@@ -46,6 +46,14 @@ def rerank_cosine(fused: DataFrame, cosine: DataFrame, weight: float = 0.5, pool
     return top_k(mixed, pool, [F.col("mixed").desc(), "node"]).select("query", "node", "rank", F.col("mixed").alias("score"))
 
 
+def pooled_cosine(fused: DataFrame, queries: DataFrame, vectors: DataFrame, pool: int = 20) -> DataFrame:
+    """(query, node, score): the cosine of every query and node of a fused pool, whichever list it came from, from their stored vectors (query, vec) and (node, vec)."""
+    pairs = fused.where(F.col("rank") <= pool).select("query", "node").join(queries.select("query", F.col("vec").alias("a")), "query").join(vectors.select("node", F.col("vec").alias("b")), "node")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    cosine = dot(F.col("a"), F.col("b")) / (F.sqrt(dot(F.col("a"), F.col("a"))) * F.sqrt(dot(F.col("b"), F.col("b"))) + 1e-9)
+    return pairs.select("query", "node", F.round(cosine, 6).alias("score"))
+
+
 def evidence_gate(hits: DataFrame, least: float = 0.33) -> DataFrame:
     """(query, best, matched): whether a query's best cosine reaches ``least``."""
     return hits.groupBy("query").agg(F.max("score").alias("best")).withColumn("matched", F.col("best") >= least)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.textnorm import strip_accents
+
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, query: str = "query", node: str = "node", vec: str = "vec", block: int = 1024) -> DataFrame:
     """(query, node, rank, score): for each query the ``k`` vectors of highest cosine a.b / (|a||b| + 1e-9); ties go to the smaller node.
@@ -58,3 +60,32 @@ def _near(vectors: DataFrame, shared, k: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"query": np.repeat(ids, scores.shape[1]), "node": nodes.ravel(), "score": scores.ravel()})
 
     return vectors.mapInArrow(scan, "query long, node long, score double")
+
+
+def nearest_anchor(queries: DataFrame, anchors: DataFrame, keywords: list[str], least: float = 0.25) -> DataFrame:
+    """(query, score, anchor, in_domain, reason) for (query, text, vec): a blank text is outside; one with a keyword, accents and case apart, is inside;
+    otherwise the anchor (node, vec) of highest cosine decides, and without any anchor the query is inside."""
+    text = F.lower(strip_accents(F.trim(F.coalesce("text", F.lit("")))))
+    word = F.coalesce(*[F.when(text.contains(strip_accents(F.lit(k.lower()))), k) for k in keywords if k], F.lit(None).cast("string"))
+    asked = queries.select("query", "vec", text.alias("__t"), word.alias("__w"))
+    near = vector_topk(asked.where("__t <> '' and __w is null").select("query", "vec"), anchors, 1).select("query", "node", F.col("score").alias("__s"))
+    told = asked.join(near, "query", "left")
+    reason = F.when(F.col("__t") == "", "empty").when(F.col("__w").isNotNull(), "keyword").when(F.col("node").isNull(), "no_anchors").otherwise("anchor")
+    told = told.withColumn("reason", reason)
+    score = F.when(F.col("reason") == "anchor", F.col("__s")).when(F.col("reason") == "empty", 0.0).otherwise(1.0)
+    anchor = F.when(F.col("reason") == "anchor", F.col("node").cast("string")).otherwise(F.col("__w"))
+    return told.select("query", score.alias("score"), anchor.alias("anchor"), F.when(F.col("reason") == "empty", False).when(F.col("reason") == "anchor", F.col("__s") >= least).otherwise(True).alias("in_domain"), "reason")
+
+
+def smalltalk_match(queries: DataFrame, bank: DataFrame, least: float = 0.78) -> DataFrame:
+    """(query, bank, question, answer, score): the answer of the bank's entry (bank, answer, questions of (question, vec)) with the nearest question, where it is near enough. Blank texts match nothing."""
+    each = bank.select("bank", "answer", F.explode("questions").alias("q")).select("bank", "answer", F.col("q.question").alias("node"), F.col("q.vec").alias("vec"))
+    asked = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "").select("query", "vec")
+    best = vector_topk(asked, each.select("node", "vec"), 1).where(F.col("score") >= least)
+    return best.join(each.select("node", "bank", "answer"), "node").select("query", "bank", F.col("node").alias("question"), "answer", "score")
+
+
+def ranked_examples(queries: DataFrame, examples: DataFrame, k: int = 3) -> DataFrame:
+    """(query, rank, example, score): the nearest examples (example, vec, question, answer) of those with a question and an answer."""
+    whole = examples.where(F.col("question").isNotNull() & F.col("answer").isNotNull()).select(F.col("example").alias("node"), "vec")
+    return vector_topk(queries.select("query", "vec"), whole, k).select("query", "rank", F.col("node").alias("example"), "score")

@@ -170,3 +170,22 @@ def rouge_l(spark, d):
     """Every document against the one with the next id; tested against brute force."""
     docs = _docs(spark, d).select("doc_id", F.col("text").alias("answer"))
     return ev.rouge_l(docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("answer").alias("truth")), "doc_id"), "doc_id")
+
+
+@query(
+    "build_eval_items",
+    """with q as (select source as tenant_id, doc_id as pos, lang, source || '-' || lpad(cast(row_number() over (partition by source order by doc_id) as varchar), 4, '0') as query_id from documents)
+select tenant_id, query_id, 'q' || pos as question, case when pos % 3 = 0 then case when pos % 2 = 0 then 'n1' else 'n1,n2' end when pos % 3 = 1 then 'f' || pos else null end as doc_ids, case when pos % 3 = 0 then case when pos % 2 = 0 then 1 else 2 end when pos % 3 = 1 then 1 else 0 end as n_refs, case when pos % 5 > 0 then 'c' || (pos % 5) else '' end as predicted, least(pos % 5, 3) as n_contexts from q""",
+)
+def build_eval_items(spark, d):
+    """Every document asks a question; a third has quotes with nodes, a third a fallback, a third neither."""
+    p = F.col("pos")
+    docs = table(spark, d, "documents").select(F.col("source").alias("tenant_id"), F.col("doc_id").alias("pos"), F.col("lang").alias("language"))
+    qas = docs.select("tenant_id", "pos", "language", F.lit("d").alias("domain"), F.lit("factual").alias("query_type"), F.concat(F.lit("q"), p.cast("string")).alias("question"), F.lit("a").alias("answer"), F.array(F.lit("k")).alias("keypoints"))
+    node = F.when(F.col("quote") == 0, "n1").when(F.col("quote") == 1, F.when(p % 2 == 0, "n1").otherwise("n2")).otherwise("n3")
+    matched = docs.where(p % 3 == 0).select("tenant_id", "pos", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("quote")).withColumns({"node": node, "text": F.lit("t")})
+    fallback = docs.where(p % 3 == 1).select("tenant_id", "pos", F.concat(F.lit("f"), p.cast("string")).alias("node"), F.lit("t").alias("text"))
+    said = docs.where(p % 5 > 0).select("tenant_id", "pos", F.concat(F.lit("c"), (p % 5).cast("string")).alias("content"), F.array_repeat(F.lit("x"), (p % 5).cast("int")).alias("contexts"), F.array(F.lit("s")).alias("sources"), F.lit("r").alias("route"))
+    items, _ = ev.build_eval_items(qas, matched, fallback, said, 3)
+    ids = F.array_join("ground_truth.doc_ids", ",")
+    return items.select("tenant_id", "query.query_id", F.col("query.content").alias("question"), ids.alias("doc_ids"), F.size("ground_truth.references").alias("n_refs"), F.col("prediction.content").alias("predicted"), F.size("prediction.references").alias("n_contexts"))

@@ -77,15 +77,16 @@ def rrf_fuse(spark, d):
 
 
 RERANK = f"""{FUSE},
-pool as (select fr.query, fr.node, fr.score, coalesce(nn.score, 0) as cosine from fr left join (select * from nn where rank <= 20) nn on fr.query = nn.query and fr.node = nn.node where fr.rank <= 20),
+pool as (select fr.query, fr.node, fr.score, coalesce(nn.score, 0) as cosine from fr left join nn on fr.query = nn.query and fr.node = nn.node where fr.rank <= 20),
 mx as (select query, node, round(0.5 * case when max(score) over w > 0 then score / max(score) over w else 0 end + 0.5 * (cosine - min(cosine) over w) / case when max(cosine) over w > min(cosine) over w then max(cosine) over w - min(cosine) over w else 1 end, 6) as score from pool window w as (partition by query))
 """
 
 
 @query("rerank_cosine", f"with {RERANK} select query, node, cast(row_number() over (partition by query order by score desc, node) as int) as rank, score from mx")
 def rerank_cosine(spark, d):
-    near, lex, _ = _lists(spark, d)
-    return fusion.rerank_cosine(fusion.rrf_fuse(near, lex, top=20), near)
+    near, lex, v = _lists(spark, d)
+    fused = fusion.rrf_fuse(near, lex, top=20)
+    return fusion.rerank_cosine(fused, fusion.pooled_cosine(fused, v.withColumnRenamed("node", "query"), v))
 
 
 @query("evidence_gate", f"with {VEC} select query, max(score) as best, max(score) >= 0.33 as matched from nn where rank between 2 and 5 group by query")
@@ -144,3 +145,34 @@ def scope_filter(spark, d):
 @query("experience_filter", "select p_partkey, p_size from part where p_size >= 20")
 def experience_filter(spark, d):
     return fusion.experience_filter(table(spark, d, "part").select("p_partkey", "p_size"), 20, "p_size")
+
+
+ANCHORS = "an as (select q.vec_id as query, a.vec_id as node, round(list_dot_product(q.e, a.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(a.e, a.e)) + 1e-9), 6) as score from v q, v a where q.vec_id % 50 = 0 and a.vec_id % 50 = 7), a1 as (select *, row_number() over (partition by query order by score desc, node) as r from an)"
+
+
+def _asked(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
+    k = F.col("query") % 4
+    text = F.when(k == 0, F.concat(F.lit("hoc phí "), F.col("query").cast("string"))).when(k == 2, F.concat(F.lit("cau "), F.col("query").cast("string"))).otherwise(" ")
+    return e.where("node % 50 = 0").withColumnRenamed("node", "query").withColumn("text", text), e.where("node % 50 = 7")
+
+
+@query("nearest_anchor", f"with {VEC}, {ANCHORS} select query, case when query % 4 = 2 then score when query % 4 = 0 then 1.0::double else 0.0::double end as score, case when query % 4 = 2 then cast(node as varchar) when query % 4 = 0 then 'học phí' end as anchor, case when query % 4 = 2 then score >= 0.25 else query % 4 = 0 end as in_domain, case query % 4 when 0 then 'keyword' when 2 then 'anchor' else 'empty' end as reason from a1 where r = 1")
+def nearest_anchor(spark, d):
+    asked, anchors = _asked(spark, d)
+    return vectors.nearest_anchor(asked, anchors, ["học phí", "lịch"])
+
+
+@query("smalltalk_match", f"with {VEC}, {ANCHORS} select query, node // 50 as bank, node as question, 'answer ' || (node // 50) as answer, score from a1 where r = 1 and score >= 0.2 and query % 4 in (0, 2)")
+def smalltalk_match(spark, d):
+    asked, bank = _asked(spark, d)
+    bank = bank.select(F.floor(F.col("node") / 50).alias("bank"), F.concat(F.lit("answer "), F.floor(F.col("node") / 50).cast("string")).alias("answer"), F.array(F.struct(F.col("node").alias("question"), "vec")).alias("questions"))
+    return vectors.smalltalk_match(asked, bank, 0.2)
+
+
+@query("ranked_examples", f"with {VEC}, {ANCHORS} select query, cast(rank as int) as rank, node as example, score from (select query, node, score, row_number() over (partition by query order by score desc, node) as rank from an where node % 100 <> 7) where rank <= 3")
+def ranked_examples(spark, d):
+    """Examples whose question or answer is missing take no part."""
+    asked, e = _asked(spark, d)
+    e = e.select(F.col("node").alias("example"), "vec", F.lit("q").alias("question"), F.when(F.col("node") % 100 != 7, "a").alias("answer"))
+    return vectors.ranked_examples(asked, e, 3)
