@@ -209,3 +209,40 @@ def mentioned_facts(col):
             fact(budget.isNotNull() & any_of(n, ("ngan sach", "budget", "toi da", "toi co", "tam")), "mentioned_budget_vnd", F.concat(budget.cast("string"), F.lit(" VND")), 30),
         )
     )
+
+
+# Words for what is compared, and times that callers name.
+CRITERIA = (("price", ("hoc phi", "gia", "price", "phi")), ("duration", ("thoi luong", "bao lau", "so thang", "tuan", "buoi", "duration")), ("output", ("dau ra", "output", "muc tieu", "band", "diem")))
+EVERYTHING = ("tat ca", "toan bo", "full", "all")
+TIMES = ("hom nay", "ngay mai", "mai", "thu 2", "thu 3", "thu 4", "thu 5", "thu 6", "thu 7", "chu nhat", "sang", "chieu", "toi")
+
+
+def comparison_args(col):
+    """struct(subjects, criteria): up to four different subjects, between words for "or" and "against" and behind "so sánh", and the one criterion that a question names, else "all"."""
+    q = F.trim(F.coalesce(col, F.lit("")))
+    n = norm_ascii(q)
+    hits = F.array_compact(F.array(*[F.when(any_of(n, words), name) for name, words in CRITERIA]))
+    criteria = F.when(~any_of(n, EVERYTHING) & (F.size(hits) == 1), F.get(hits, F.lit(0))).otherwise("all")
+    joined = F.regexp_replace(F.regexp_replace(q, rf"(?iu){BEFORE}(vs|voi|với){AFTER}", " vs "), rf"(?iu){BEFORE}(hay|hoac|hoặc){AFTER}", " vs ")
+    tail = F.when(joined.rlike(rf"(?iu){BEFORE}so\s*s[aá]nh{AFTER}.*$"), F.trim(F.regexp_extract(joined, rf"(?iu){BEFORE}so\s*s[aá]nh{AFTER}(.*)$", 1))).otherwise(joined)
+    parts = F.slice(F.filter(F.transform(F.split(tail, " vs "), F.trim), lambda p: p != ""), 1, 4)
+    plain = lambda p: F.trim(F.regexp_replace(p, rf"(?iu){BEFORE}(giua|khoa hoc|khóa học|lop|lớp|course|nen hoc|nên học){AFTER}", " "))
+    names = F.filter(F.transform(parts, lambda p: F.trim(F.get(F.split(plain(p), r"[:;,.\n\-]", 2), F.lit(0)))), lambda p: p != "")
+    return F.struct(F.transform(F.array_distinct(names), lambda p: F.substring(p, 1, 80)).alias("subjects"), criteria.alias("criteria"))
+
+
+def ticket_args(col, phone):
+    """struct(phone, name, preferred_time, intent_summary) of a request to be called; ``phone`` is the text's number. The summary is the text without it, blanks collapsed, 180 characters at most."""
+    t = F.trim(F.coalesce(col, F.lit("")))
+    own = F.regexp_extract(t, rf"(?iu){BEFORE}(?:tôi|toi|em|mình|minh|anh|chị|chi)\s+(?:là|la|tên|ten)\s+([^\n,;.]{{2,40}})", 1)
+    plain = F.regexp_extract(strip_accents(t, map_d=True), rf"(?i){BEFORE}(?:toi|em|minh|anh|chi)\s+(?:la|ten)\s+([^\n,;.]{{2,40}})", 1)
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.when(own != "", own).otherwise(plain)), r"\s+", " "), r"(?i)\b(sdt|phone|so dien thoai).*$", ""))
+    n = norm_ascii(t)
+    said = F.coalesce(*[F.when(n.contains(x), x) for x in TIMES])
+    clock = lambda p, g: F.regexp_extract(t, p, g)
+    exact, hour = r"(?i)\b([0-9]{1,2})[:h]([0-9]{2})\b", r"(?i)\b([0-9]{1,2})\s*h\b"
+    at = F.when((clock(exact, 1) != "") & (clock(exact, 1).cast("int") <= 23) & (clock(exact, 2).cast("int") <= 59), F.concat(F.lpad(clock(exact, 1), 2, "0"), F.lit(":"), clock(exact, 2)))
+    on = F.when((clock(hour, 1) != "") & (clock(hour, 1).cast("int") <= 23), F.concat(F.lpad(clock(hour, 1), 2, "0"), F.lit(":00")))
+    rest = F.when(phone.isNotNull(), F.replace(t, phone, F.lit(""))).otherwise(t)
+    summary = F.trim(F.substring(F.trim(F.regexp_replace(rest, r"\s+", " ")), 1, 180))
+    return F.struct(phone.alias("phone"), F.nullif(name, F.lit("")).alias("name"), F.coalesce(said, at, on).alias("preferred_time"), summary.alias("intent_summary"))

@@ -92,3 +92,21 @@ def retrieval_metrics(vector: DataFrame, lexical: DataFrame, fused: DataFrame) -
     tag = lambda df, n: df.select("query", F.lit(n).alias("kind"))
     every = tag(vector, "v").unionByName(tag(lexical, "l")).unionByName(tag(fused, "f"))
     return every.groupBy("query").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{n}") for k, n in (("v", "vector"), ("l", "lexical"), ("f", "fused"))])
+
+
+def assemble_prompt(questions: DataFrame, history: DataFrame, examples: DataFrame, contexts: DataFrame, system: str, turns: int = 6, cut: int = 400) -> DataFrame:
+    """(query, prompt) for every question (query, text): the system's text, the last ``turns`` messages (query, ts, role, content) cut at ``cut`` characters, numbered
+    examples (query, rank, question, answer) and contexts (query, rank, text), the question, and how to answer, shorter where there are more than two messages."""
+    said = history.where(F.col("role").isin("user", "assistant") & (F.trim("content") != ""))
+    last = said.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.col("ts").desc()))).withColumn("all", F.count("*").over(Window.partitionBy("query"))).where(F.col("n") <= turns)
+    listed = lambda df, order, line, name: df.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"]), "\n").alias(name), *([F.max("all").alias("all")] if "all" in df.columns else []))
+    turn = F.concat(F.when(F.col("role") == "user", "User: ").otherwise("Assistant: "), F.substring(F.trim("content"), 1, cut))
+    number = F.col("rank").cast("string")
+    pair = F.concat(F.lit("Example "), number, F.lit(" - Q: "), "question", F.lit("\nExample "), number, F.lit(" - A: "), "answer")
+    parts = [listed(last, "ts", turn, "said"), listed(examples, "rank", pair, "shown"), listed(contexts, "rank", F.concat(F.lit("[Doc "), number, F.lit("] "), "text"), "known")]
+    rows = questions
+    for part in parts:
+        rows = rows.join(part, "query", "left")
+    block = lambda head, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"\n{head}:\n"), c))
+    brief = F.when(F.col("all") > 2, "\nThe conversation goes on: answer directly and do not repeat what was said.").otherwise("\nAnswer clearly and concisely. If unsure, say you are unsure.")
+    return rows.select("query", F.concat_ws("\n", F.lit(system), block("Conversation History", "said"), block("Examples", "shown"), block("Retrieved Knowledge", "known"), F.concat(F.lit("\nUser Question:\n"), "text"), brief).alias("prompt"))

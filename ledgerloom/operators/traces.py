@@ -43,6 +43,19 @@ def append_log(rows: DataFrame, path: str, defaults: dict, day_of: str = "ts") -
     with_defaults(rows, defaults).withColumn("day", F.to_date(F.timestamp_seconds(day_of))).write.mode("append").partitionBy("day").parquet(path)
 
 
+def append_traces(rows: DataFrame, path: str) -> None:
+    append_log(rows, path, {"channel": "api", "status": "SUCCESS", "sources": "[]", "tool_metadata": "{}"})
+
+
+def append_feedback(rows: DataFrame, path: str) -> None:
+    """Ratings are 1 or -1; others are not appended."""
+    append_log(rows.where("rating in (1, -1)"), path, {"comment": ""})
+
+
+def append_tickets(rows: DataFrame, path: str) -> None:
+    append_log(rows, path, {"status": "new", "meta": "{}"})
+
+
 def parse_date(col):
     """Epoch digits or YYYY-MM-DD as epoch seconds; null for anything else."""
     s = F.trim(col)

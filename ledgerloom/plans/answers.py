@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..operators import memory
+from ..operators.courses import extract_phone
 from ..registration import query
 from ..tables import table
 
@@ -146,3 +147,18 @@ def entity_patch(spark, d):
     meta = F.when(i % 4 == 0, F.concat(F.lit('{"computed_final_vnd": '), i.cast("string"), F.lit(', "discount_scope": null}'))).when(i % 4 == 1, F.concat(F.lit('{"computed_final_vnd": '), i.cast("string"), F.lit('.75, "discount_scope": "total"}'))).when(i % 4 == 2, '{"computed_final_vnd": "7", "discount_scope": 3}')
     rows = table(spark, d, "events").withColumns({"said": F.when(i % 3 == 0, F.concat(F.lit("gọi 09"), F.lpad(F.col("user_id").cast("string"), 8, "1"))).otherwise("x"), "meta": meta})
     return rows.select("event_id", memory.entity_patch(F.col("said"), "meta").alias("p")).select("event_id", F.col("p")["phone"].alias("phone"), F.col("p")["computed_total_payable_vnd"].alias("total"), F.col("p")["discount_scope"].alias("scope"))
+
+
+@query("comparison_args", "select o_orderkey, case o_orderkey % 4 when 0 then 'A' || o_custkey || '|B' when 1 then 'IELTS ' || o_custkey || '|TOEIC|CEFR' when 2 then 'X' || o_custkey || '|X' || o_custkey || ' bao lâu' else '' end as subjects, case o_orderkey % 4 when 0 then 'price' when 1 then 'all' when 2 then 'duration' else 'all' end as criteria from orders")
+def comparison_args(spark, d):
+    k, n = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    said = F.when(k == 0, F.concat(F.lit("Cho em so sánh A"), n, F.lit(" với lớp B, học phí"))).when(k == 1, F.concat(F.lit("IELTS "), n, F.lit(" hay TOEIC hoặc CEFR: học phí, đầu ra"))).when(k == 2, F.concat(F.lit("X"), n, F.lit(". VS X"), n, F.lit(" bao lâu"))).otherwise(F.lit(""))
+    return table(spark, d, "orders").select("o_orderkey", answers.comparison_args(said).alias("a")).select("o_orderkey", F.array_join("a.subjects", "|").alias("subjects"), "a.criteria")
+
+
+@query("ticket_args", "select o_orderkey, case when o_orderkey % 3 < 2 then '09' || lpad(cast(o_custkey as varchar), 8, '2') end as phone, case o_orderkey % 3 when 0 then 'Lan ' || o_custkey when 1 then 'Minh' end as name, case o_orderkey % 3 when 0 then 'chieu' when 1 then lpad(cast(o_custkey % 24 as varchar), 2, '0') || ':30' end as preferred_time, case o_orderkey % 3 when 0 then 'Em là Lan ' || o_custkey || ', gọi chiều nhé' when 1 then 'mình tên Minh sdt lúc ' || (o_custkey % 24) || ':30' else 'alo' end as intent_summary from orders")
+def ticket_args(spark, d):
+    k, n = F.col("o_orderkey") % 3, F.col("o_custkey").cast("string")
+    number = F.concat(F.lit("09"), F.lpad(n, 8, "2"))
+    said = F.when(k == 0, F.concat(F.lit("Em là Lan "), n, F.lit(",  "), number, F.lit(" gọi chiều nhé"))).when(k == 1, F.concat(F.lit("mình tên Minh sdt "), number, F.lit("  lúc "), (F.col("o_custkey") % 24).cast("string"), F.lit(":30"))).otherwise(" alo ")
+    return table(spark, d, "orders").select("o_orderkey", answers.ticket_args(said, extract_phone(said)).alias("t")).select("o_orderkey", "t.*")

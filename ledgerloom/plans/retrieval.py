@@ -176,3 +176,17 @@ def ranked_examples(spark, d):
     asked, e = _asked(spark, d)
     e = e.select(F.col("node").alias("example"), "vec", F.lit("q").alias("question"), F.when(F.col("node") % 100 != 7, "a").alias("answer"))
     return vectors.ranked_examples(asked, e, 3)
+
+
+PROMPT = """with q as (select doc_id as query, lang as text, doc_id % 5 as h, doc_id % 3 as e, doc_id % 4 as c from documents),
+l as (select *, case when h > 0 then chr(10) || chr(10) || 'Conversation History:' || (select string_agg(chr(10) || case when i % 2 = 1 then 'User: m' else 'Assistant: m' end || i, '' order by i) from unnest(range(greatest(1, h - 2), h + 1)) u(i)) else '' end as hh, case when e > 0 then chr(10) || chr(10) || 'Examples:' || (select string_agg(chr(10) || 'Example ' || i || ' - Q: q' || chr(10) || 'Example ' || i || ' - A: a', '' order by i) from unnest(range(1, e + 1)) u(i)) else '' end as ee, case when c > 0 then chr(10) || chr(10) || 'Retrieved Knowledge:' || (select string_agg(chr(10) || '[Doc ' || i || '] t', '' order by i) from unnest(range(1, c + 1)) u(i)) else '' end as cc from q)
+select query, 'SYS' || hh || ee || cc || chr(10) || chr(10) || 'User Question:' || chr(10) || text || chr(10) || chr(10) || case when h > 2 then 'The conversation goes on: answer directly and do not repeat what was said.' else 'Answer clearly and concisely. If unsure, say you are unsure.' end as prompt from l"""
+
+
+@query("assemble_prompt", PROMPT)
+def assemble_prompt(spark, d):
+    """Documents ask in their language's name; their numbers say how many messages, examples and contexts they have."""
+    q = table(spark, d, "documents").select(F.col("doc_id").alias("query"), F.col("lang").alias("text"))
+    up_to = lambda n, name: q.where(F.col("query") % n > 0).select("query", F.explode(F.sequence(F.lit(1), (F.col("query") % n).cast("int"))).alias(name))
+    said = up_to(5, "ts").select("query", "ts", F.when(F.col("ts") % 2 == 1, "user").otherwise("assistant").alias("role"), F.concat(F.lit("m"), F.col("ts").cast("string")).alias("content"))
+    return fusion.assemble_prompt(q, said, up_to(3, "rank").withColumns({"question": F.lit("q"), "answer": F.lit("a")}), up_to(4, "rank").withColumn("text", F.lit("t")), "SYS", turns=3)
