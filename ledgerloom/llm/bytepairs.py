@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType
 
 from .shared import table, written
 
@@ -27,7 +27,7 @@ from .shared import table, written
 SPACE = r"\s\x85\p{Z}"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Rows of the broadcast part of the word table, and bytes of a word in it.
-HOT, HOT_BYTES = 3 << 19, 32
+HOT, HOT_BYTES = 1 << 20, 32
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def _shared(spark: SparkSession, column: pa.ChunkedArray):
 
 
 def _coder(spark: SparkSession, words_of_hot: pa.ChunkedArray):
-    """An Arrow function of an array of words. It gives the codes as one value, places in the broadcast table from 1 on and 0 for words that aren't there, and after it those words in order."""
+    """An Arrow function of an array of words. It gives the codes as one value, places in the broadcast table from 1 on and 0 for words that aren't there, and after it those words in order, packed."""
     hot = _shared(spark, words_of_hot)
 
     def codes_of(col: pa.Array) -> pa.Array:
@@ -140,7 +140,10 @@ def _coder(spark: SparkSession, words_of_hot: pa.ChunkedArray):
         out = []
         for a, b, c, d in zip(ends, ends[1:], seen, seen[1:], strict=False):
             planes = np.ascontiguousarray(codes[a:b].view(np.uint8).reshape(-1, 4).T[:3]).tobytes()
-            out.append([int(b - a).to_bytes(4, "little") + zstd.compress(planes, asbytes=True), *rest.slice(c, d - c).to_pylist()])
+            own = rest.slice(c, d - c)
+            sizes = pc.binary_length(own).to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            packed = sizes + b"".join(own.to_pylist())
+            out.append([int(b - a).to_bytes(4, "little") + zstd.compress(planes, asbytes=True), *([int(d - c).to_bytes(4, "little") + len(packed).to_bytes(8, "little") + zstd.compress(packed, asbytes=True)] if d > c else [])])
         return pa.array(out, pa.list_(pa.binary()))
 
     @F.arrow_udf("array<binary>")
@@ -150,6 +153,21 @@ def _coder(spark: SparkSession, words_of_hot: pa.ChunkedArray):
     return code
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _rare(packed: pa.Array) -> pa.Array:
+    """The words that ``_coder`` packed, in order."""
+    out = []
+    for x in packed.to_pylist():
+        if x is None:
+            out.append(None)
+            continue
+        n, size = int.from_bytes(x[:4], "little"), int.from_bytes(x[4:12], "little")
+        blob = pa.decompress(x[12:], size, "zstd", asbytes=True)
+        ends = 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(blob[: 4 * n], "<u4").astype(np.int64))])
+        out.append([blob[a:b].decode() for a, b in zip(ends, ends[1:], strict=False)])
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def _ends(lists: pa.ListArray) -> np.ndarray:
     """Where each list ends in the flattened values, after a first 0; null lists are empty."""
     return np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)])).astype(np.int64)
@@ -217,8 +235,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer, key: str = "doc_id", text: str
     often = _often(coded, hot)
     top = coded.where(often).select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     split = rows.select("__row", _coder(spark, top["word"])("words").alias("c")).repartition("__row")  # one exchange, read twice
-    rest = F.posexplode(F.slice("c", F.lit(2), F.size("c"))).alias("at", "word")
-    cold = split.select("__row", rest).withColumn("word", F.col("word").cast("string")).join(coded.where(~often).select("word", "ids"), "word")
+    cold = split.select("__row", F.posexplode(_rare(F.get("c", F.lit(1)))).alias("at", "word")).join(coded.where(~often).select("word", "ids"), "word")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])
     cold = cold.groupBy("__row").agg(ordered.alias("cold"))
     both = split.join(cold, "__row", "left").select("__row", _joiner(spark, top["ids"])(F.get("c", F.lit(0)), "cold").alias("ids"))
