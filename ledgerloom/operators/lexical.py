@@ -61,12 +61,12 @@ def bm25_topk(queries: DataFrame, nodes: DataFrame, k: int = 5, k1: float = 1.5,
 
     Statistics take one pass over the nodes, in which only asked terms are counted. Scores take another: a batch of nodes is scored against a block of queries at
     once, and of each batch only the nodes that reach its own ``k``-th best score go on, so that pairs of queries and nodes are never shuffled.
-    Blocks hold so many queries that their matrix has at most ``CELLS`` cells, one query at least.
+    Blocks hold so many queries that their matrix has at most ``CELLS`` cells, one query at least. Queries without an id take no part; empty tables give no rows.
     """
     spark = nodes.sparkSession
     key, node = cols.get("query", "query"), cols.get("node", "node")
     rows = nodes.select(F.col(node).alias("node"), tokenize(F.col(cols.get("node_text", "text"))).alias("tokens"))
-    asked = queries.select(F.col(key).alias("query"), F.explode(tokenize(F.col(cols.get("query_text", "text")))).alias("term")).groupBy("query", "term").agg(F.count("*").cast("int").alias("times"))
+    asked = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("query"), F.explode(tokenize(F.col(cols.get("query_text", "text")))).alias("term")).groupBy("query", "term").agg(F.count("*").cast("int").alias("times"))
     known = asked.groupBy("term").agg(F.lit(0).alias("x"))
     terms = rows.select(F.explode(F.array_distinct("tokens")).alias("term")).join(known.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     corpus = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()

@@ -223,3 +223,15 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_bm25_topk_is_the_head_of_all_scores(spark):
+    from ledgerloom.operators import lexical
+
+    nodes = spark.createDataFrame([(1, "a b b"), (2, None), (3, "b c"), (4, "b c")], "node long, text string")
+    queries = spark.createDataFrame([("x", "b c"), ("y", None), (None, "a"), ("z", "nope"), ("w", "a")], "query string, text string")
+    got = [tuple(r)[:3] for r in lexical.bm25_topk(queries, nodes, k=2).orderBy("query", "rank").collect()]
+    assert got == [("w", 1, 1), ("x", 3, 1), ("x", 4, 2)]
+    every = {(r.query, r.node): round(r.score, 6) for r in lexical.bm25_scores(queries, lexical.bm25_index(nodes)).collect()}
+    assert all(every[r.query, r.node] == r.score for r in lexical.bm25_topk(queries, nodes, k=2).collect())
+    assert lexical.bm25_topk(queries.where("false"), nodes).count() == 0 and lexical.bm25_topk(queries, nodes.where("false")).count() == 0
