@@ -207,3 +207,24 @@ def test_lines_of_tables_with_clashing_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
     got = {r.doc_id: r for r in fuzzylines.dedup_lines(df).collect()}
     assert [got[i].n_gone for i in range(4)] == [0, 1, 1, 1] and got[1].text == "own line number 7919 is here" and got[2]["__id"] == "x"
+
+
+def test_lines_of_the_same_words_in_other_orders(spark, monkeypatch):
+    """They share every minimum, but few of their pairs are compared; the near copy among them is found."""
+    import random
+
+    from ledgerloom.llm import fuzzylines
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40)]
+    lines = [" ".join(r.sample(words, 40)) for _ in range(100)]
+    lines.append(lines[0].replace(lines[0][60], "z", 1))
+    compared, similar = [], fuzzylines.similar
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(fuzzylines, "similar", counted)
+    got = {x.doc_id for x in fuzzylines.dropped_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {100} and sum(compared) < 100 * 99 / 2 / 2
