@@ -225,7 +225,7 @@ def comparison_args(col):
     criteria = F.when(~any_of(n, EVERYTHING) & (F.size(hits) == 1), F.get(hits, F.lit(0))).otherwise("all")
     joined = F.regexp_replace(F.regexp_replace(q, rf"(?iu){BEFORE}(vs|voi|với){AFTER}", " vs "), rf"(?iu){BEFORE}(hay|hoac|hoặc){AFTER}", " vs ")
     tail = F.when(joined.rlike(rf"(?iu){BEFORE}so\s*s[aá]nh{AFTER}.*$"), F.trim(F.regexp_extract(joined, rf"(?iu){BEFORE}so\s*s[aá]nh{AFTER}(.*)$", 1))).otherwise(joined)
-    parts = F.slice(F.filter(F.transform(F.split(tail, " vs "), F.trim), lambda p: p != ""), 1, 4)
+    parts = F.slice(F.filter(F.transform(F.split(tail, " vs "), lambda p: F.trim(p)), lambda p: p != ""), 1, 4)
     plain = lambda p: F.trim(F.regexp_replace(p, rf"(?iu){BEFORE}(giua|khoa hoc|khóa học|lop|lớp|course|nen hoc|nên học){AFTER}", " "))
     names = F.filter(F.transform(parts, lambda p: F.trim(F.get(F.split(plain(p), r"[:;,.\n\-]", 2), F.lit(0)))), lambda p: p != "")
     return F.struct(F.transform(F.array_distinct(names), lambda p: F.substring(p, 1, 80)).alias("subjects"), criteria.alias("criteria"))

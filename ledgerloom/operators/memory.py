@@ -189,7 +189,7 @@ def resolve_pending(pending: DataFrame, messages: DataFrame, sure: float = 0.95)
     last = said.groupBy("tenant_id", "user_id").agg(F.max_by(F.trim("content"), F.struct("ts", "content")).alias("said"))
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     named = lambda o: plain(F.col("said")).contains(plain(o)) | F.col("said").contains(F.element_at(F.split(F.trim(o), r"\s+"), -1))
-    options = F.array_distinct(F.filter(F.transform("options", F.trim), lambda o: (o != "") & named(o)))
+    options = F.array_distinct(F.filter(F.transform("options", lambda o: F.trim(o)), lambda o: (o != "") & named(o)))
     told = pending.join(last, ["tenant_id", "user_id"]).withColumn("__named", options).where(F.size("__named") == 1)
     return told.select("tenant_id", "user_id", "fact_key", F.get("__named", F.lit(0)).alias("value_text"), F.lit(sure).alias("confidence"))
 

@@ -4,8 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import extract
-from ledgerloom.operators import resumes, sections
+from ledgerloom.functions import answers, extract
+from ledgerloom.operators import memory, resumes, sections
 
 TEXTS = [(1, None), (2, ""), (3, "word " * 700), (4, "a\n" * 900 + "\r\nlast"), (5, "x" * 3000), (6, "one. two! " * 600 + "\n\n" + "p\n\n" * 40), (9, "z" * 2500 + ". end. " + "mid " * 300), (7, "HEADING ONE\n" + "body " * 30 + "\n2. Second\ntiny\nLabel:\n" + "more " * 40)]
 
@@ -70,6 +70,18 @@ def test_values_in_texts(spark):
     assert [r.n for r in n] == ["Lê Van An", "Cv Nguyen B", "X"]
 
 
+def test_names_keep_their_digits(spark):
+    """A line's blanks go, and no digit, whatever its place."""
+    texts = ["0Lê 10\nx", "x\n1Lê 11", "x\n  1Lê 11 ", "y\nx\n2Lê 22"]
+    n = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", extract.guess_name(F.col("t"), F.lit("a.pdf")).alias("n")).orderBy("i").collect()
+    assert [r.n for r in n] == ["0Lê 10", "1Lê 11", "1Lê 11", "2Lê 22"]
+    c = spark.createDataFrame([("so sanh  A vs 1B1 ",)], "t string").select(answers.comparison_args(F.col("t")).alias("c")).first().c
+    assert list(c.subjects) == ["A", "1B1"]
+    pending = spark.createDataFrame([("t", 1, "k", ["Lop 7", "1x", " IELTS 2 "])], "tenant_id string, user_id long, fact_key string, options array<string>")
+    m = spark.createDataFrame([("t", 1, 2, "user", "ielts 2")], "tenant_id string, user_id long, ts long, role string, content string")
+    assert [r.value_text for r in memory.resolve_pending(pending, m).collect()] == ["IELTS 2"]
+
+
 def test_batches_by_position(spark):
     got = resumes.batch_inputs(spark.createDataFrame([(i * i * 7,) for i in range(137)], "i long"), "i").orderBy("i").collect()
     assert [(r.batch, r.place) for r in got] == [(k // 5, k % 5) for k in range(137)]
