@@ -10,7 +10,8 @@ fewer than m - d are empty, since then one that isn't must agree.
 
 Groups of many copies stay linear. Equal sets are one node (their hash sum is the node's id). In each bucket all nodes pair with the
 smallest only; pairs pass the sketches' Hamming bound and are verified on the whole sets. Buckets that this leaves in more than one
-connected group are joined to clusters over shared nodes; a cluster's nodes of different groups are compared by their sketches, in
+connected group first lose the nodes that may leave them: linked sets agree in more blocks than one, so each may miss its largest open buckets, by the
+size of which all are ordered. What is still open is joined to clusters over shared nodes; a cluster's nodes of different groups are compared by their sketches, in
 blocks that spread over tasks, and what passes is verified too. So no link that joins two groups is lost, and pairs inside a group that already hangs together are never made.
 
 Cases: null and empty texts have no shingles and are linked with nothing; fewer words than a shingle give one shingle of all of them; repeated
@@ -25,13 +26,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import connected, small, table, written
 
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _UPPER = bytes(range(65, 91))
+#: Blocks beyond the differences allowed: so many and one in so many more. Linked sets agree in as many blocks, some of them empty.
+SPARE, SPARE_IN = 6, 16
 _LOWERED = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
@@ -92,11 +95,11 @@ class Bands:
     def cut(self, band: int) -> tuple[int, np.ndarray]:
         """Differences allowed in the band, and the lower edges of its blocks."""
         d = self.most_differences(2 * self.top[band])
-        m = d + 3 + d // 32
+        m = d + SPARE + d // SPARE_IN
         return d, np.array([(b << 64) // m for b in range(1, m)], np.uint64)
 
     def keys(self, u: np.ndarray, band: int) -> np.ndarray:
-        """Bucket keys of a set in a band; none where only equal sets can be linked."""
+        """Bucket keys of a set in a band, whose lowest bit is the band's; none where only equal sets can be linked."""
         d, edges = self.cut(band)
         if d == 0:
             return np.empty(0, np.uint64)
@@ -104,9 +107,22 @@ class Bands:
         parity = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(u)])[ends]
         block = np.arange(len(edges) + 1, dtype=np.uint64)
         keys = _mix((parity[1:] ^ parity[:-1]) + _mix((np.uint64(band) << np.uint64(32)) + block + _C))
+        keys = keys & ~np.uint64(1) | np.uint64(band & 1)
         filled = ends[1:] > ends[:-1]
         return keys[filled] if len(filled) - int(filled.sum()) < len(edges) + 1 - d else keys
 
+    def spare(self, u: np.ndarray) -> list[int]:
+        """For even and odd bands: how many buckets a set may leave and still meet every set that it is linked with.
+
+        Of m blocks m - d agree at least, so the filled ones of a set that do are m - d less its empty ones, or more.
+        """
+        out = [0, 0]
+        for band in self.home_and_next(len(u)):
+            d, edges = self.cut(band)
+            filled = len(np.unique(np.searchsorted(edges, u, "right")))
+            out[band & 1] = max(0, filled - d - 1)
+        return out
+
     def home_and_next(self, n: int) -> list[int]:
         b = self.band(n)
         return [b, b + 1] if n * self.den // self.num > self.top[b] else [b]
@@ -134,18 +150,19 @@ def distance(a: bytes, b: bytes) -> int:
 
 
 def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(row_id, text_key, n, node, sketch) for every row; ``node`` is null for empty sets."""
+    """(row_id, text_key, n, node, sketch, spare) for every row; ``node`` is null for empty sets."""
 
     def batch(texts: pa.Array) -> pa.Array:
-        words, bands, n, node, sketch = Words(), Bands(num, den), [], [], []
+        words, bands, n, node, sketch, spare = Words(), Bands(num, den), [], [], [], []
         for x in texts.cast(pa.binary()):
             u = shingles(x.as_py() or b"", k, words)
             n.append(len(u))
             node.append(node_of(u) if len(u) else None)
             sketch.append(bands.sketch(u) if len(u) else None)
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], ["n", "node", "sketch"])
+            spare.append(bands.spare(u) if len(u) else None)
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.array(spare, pa.list_(pa.int32()))], ["n", "node", "sketch", "spare"])
 
-    made = F.arrow_udf(batch, "struct<n:long,node:long,sketch:binary>")(F.col("text"))
+    made = F.arrow_udf(batch, "struct<n:long,node:long,sketch:binary,spare:array<int>>")(F.col("text"))
     return docs.select("row_id", "text_key", made.alias("s")).select("row_id", "text_key", "s.*")
 
 
@@ -260,15 +277,32 @@ def verified(pairs: DataFrame, docs: DataFrame, chosen: DataFrame, k: int, num:
     return both.where(F.arrow_udf(linked, "boolean")("ua", "ub")).select("a", "b")
 
 
+def apart(members: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(head, node, component): the nodes of every bucket that links leave in several groups, with the bucket's smallest node and the node's group.
+
+    Linked nodes of different groups share no bucket that hangs together, so all that they must agree in are open. Each node leaves its largest
+    open buckets, as many as it may: the smallest that two linked ones share is none of them, since larger ones that both are in come first.
+    """
+    told = members.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def still_open(rows: DataFrame, *more) -> DataFrame:
+        return rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), *more).where("lo <> hi").drop("lo", "hi")
+
+    rows = written(told.join(still_open(told, F.count("*").alias("size")), "bucket"), "opened")
+    band = F.col("bucket").bitwiseAND(F.lit(1))
+    place = F.row_number().over(Window.partitionBy("node", band).orderBy(F.col("size").desc(), "bucket"))
+    rows = rows.withColumn("place", place).join(nodes.select("node", "spare"), "node").where(F.col("place") > F.get("spare", band.cast("int")))
+    rows = written(rows.select("bucket", "node", "component"), "kept")
+    return written(rows.join(still_open(rows, F.min("node").alias("head")), "bucket").select("head", "node", "component").distinct(), "apart")
+
+
 def open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, num: int, den: int, block: int = 2048) -> DataFrame:
     """Pairs of nodes in different groups so far that buckets hold together and whose sketches allow a link.
 
     Buckets that hang together go. The others are joined to clusters over the nodes they share, so that a pair is looked at once and not in
     every bucket; a cluster's nodes are dealt into blocks by hash and each pair of blocks is one group of rows.
     """
-    told = members.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = told.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("head")).where("lo <> hi")
-    held = written(told.join(apart.select("bucket", "head"), "bucket").select("head", "node", "component").distinct(), "apart")
+    held = apart(members, labels, nodes)
     cluster = connected(held, "head", "node").select(F.col("id").alias("node"), F.col("component").alias("bucket"))
     told = held.select("node", "component").distinct().join(cluster, "node")
     sizes = told.groupBy("bucket").agg((F.count("*") / block).cast("int").alias("last"))
@@ -349,7 +383,7 @@ def _two(held: list) -> pa.RecordBatch:
 def grouped_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(row_id, text_key, n, component) for every row of ``docs`` (row_id, text): ``component`` is a number for each group, null for empty sets."""
     made = written(set_table(docs.withColumn("text_key", F.xxhash64("text")), k, num, den), "sets")
-    nodes = written(made.where("node is not null").groupBy("node").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = written(made.where("node is not null").groupBy("node").agg(F.min("row_id").alias("row_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("spare").alias("spare")), "nodes")
     scanned = bucket_rows(docs, k, num, den).repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_scan_buckets, "kind byte, a long, b long")
     scanned = written(scanned, "buckets")
     stars = scanned.where("kind = 0").select("a", "b").distinct()

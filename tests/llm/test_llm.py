@@ -185,6 +185,32 @@ def test_ngram_join_edges(edge, none):
     assert by[1].n_shingles == 0 and by[1].component_id == 1 and by[2].component_id == 2 and {by[i].component_id for i in (5, 6, 7, None)} == {5} and by[8].n_shingles == 1
 
 
+def test_shared_passages_make_no_clusters(spark, monkeypatch):
+    """Texts that only share a passage and empty blocks leave the buckets that this puts them into; groups are those of all pairs."""
+    r = random.Random(7)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    passage, rows = words(30), []
+    for i in range(240):
+        w = words(r.randrange(40, 120))
+        at = r.randrange(len(w))
+        rows.append((i, " ".join(w[:at] + passage + w[at:])))
+    for i in range(240, 260):
+        w = rows[i - 240][1].split()
+        w[r.randrange(len(w))] = "changed"
+        rows.append((i, " ".join(w)))
+    sizes = []
+
+    def told(edges, *ends):
+        if ends:
+            sizes.append(edges.select(ends[1]).distinct().count())
+        return shared.connected(edges, *ends)
+
+    monkeypatch.setattr(ngramjoin, "connected", told)
+    got = ngramjoin.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    assert sorted(map(tuple, got)) == sorted(ngramjoin.brute_force(rows, 5, 80, 100))
+    assert len(sizes) == 1 and sizes[0] <= 60
+
+
 def test_parity_sketch_bounds_difference():
     import numpy as np
 
