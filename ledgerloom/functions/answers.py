@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +54,10 @@ LEAKS = (
 PROMISES = ((r"cam kết.*(?:100%|đậu|đạt|pass)", "promise:guarantee_result"), (r"miễn phí.*(?:toàn bộ|hoàn toàn|100%)", "promise:free_everything"), (r"hoàn.*100%.*học phí", "promise:full_refund"))
 HANDOFF = "Dạ em cần xác nhận lại thông tin chính xác với bộ phận hỗ trợ. Anh/chị vui lòng để em chuyển cho tư vấn viên hỗ trợ chi tiết nhé!"
 NOTE = "\n\n_Lưu ý: Các thông tin trên mang tính tham khảo. Anh/chị vui lòng liên hệ trung tâm để xác nhận chi tiết._"
-#: Tenants' names that one row of the dictionary holds.
-NAMES = 10_000
+#: Tenants' names, and no more, that are broadcast.
+NAMES = 500_000
+#: Texts are searched in pieces of so many characters, for a place in a text is found by counting from its start.
+PIECE = 64
 
 
 def _place(text, pattern: str):
@@ -150,22 +150,39 @@ def _own_violations(answer, computed):
     return F.array_compact(F.array(*leaks, numeric)), F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(name)) for p, name in PROMISES]))
 
 
+def _mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(__of, name): the distinct ``names`` that stand in each ``text``.
+
+    A name begins with a head of 1, 2, 4, 8 ... characters, the longest that it has. Every place of a text is looked up with each size of heads that occurs, and where
+    one is found with the lengths of its names; both are joins by equality.
+    """
+    length = F.length("name")
+    told = names.select("name", length.alias("length"), F.expr("shiftleft(1, length(bin(length(name))) - 1)").alias("size"))
+    known = told.agg(F.count("*").alias("n"), F.max("length").alias("most"), F.array_sort(F.collect_set("size")).alias("sizes")).first()
+    few = lambda df: F.broadcast(df) if known.n <= NAMES else df
+    heads = told.groupBy("size", F.expr("substring(name, 1, size)").alias("head")).agg(F.collect_set("length").alias("lengths"))
+    pieces = texts.select("__of", F.expr(f"explode(sequence(1, length(text), {PIECE}))").alias("at"), "text").select("__of", F.expr(f"substring(text, at, {PIECE - 1 + (known.most or 1)})").alias("piece"))
+    places = pieces.select("__of", "piece", F.expr(f"explode(sequence(1, least({PIECE}, length(piece))))").alias("at"))
+    sized = places.select("*", F.explode(F.array(*[F.lit(x) for x in known.sizes]).cast("array<int>")).alias("size")).where("at + size - 1 <= length(piece)")
+    found = sized.withColumn("head", F.expr("substring(piece, at, size)")).join(few(heads), ["size", "head"])
+    whole = found.select("__of", "piece", "at", F.explode("lengths").alias("length")).where("at + length - 1 <= length(piece)")
+    return whole.select("__of", F.expr("substring(piece, at, length)").alias("name")).join(few(names), "name").select("__of", "name").distinct()
+
+
 def validate_answers(answers: DataFrame, tenants: DataFrame, key: str = "key") -> DataFrame:
     """(key, passed, action, violations, text) for (key, answer, tenant, computed): leaks and other tenants' names hand the answer over, a computed amount that isn't
     told or a promise adds a note. Blank answers pass.
 
-    ``tenants`` (tenant_id) becomes a dictionary of rows of ``NAMES`` names. One row is broadcast to every answer; with more, answers meet every row by its
-    number and what they name is put together by ``key``, which must then be unique.
+    Names of ``tenants`` (tenant_id) that stand anywhere in an answer, in any case, are found by ``_mentions``, whose work grows with the answers' characters and
+    not with the number of names.
     """
     names = tenants.select(F.lower(F.trim("tenant_id")).alias("name")).where("name <> ''").distinct()
-    rows = max(1, math.ceil(names.count() / NAMES))
-    dictionary = names.groupBy(F.pmod(F.xxhash64("name"), F.lit(rows)).cast("int").alias("__row")).agg(F.array_sort(F.collect_list("name")).alias("__names"))
-    numbered = answers.withColumn("__row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     own, low = F.lower(F.trim("tenant")), F.lower(F.coalesce("answer", F.lit("")))
-    met = numbered.join(F.broadcast(dictionary) if rows == 1 else dictionary, "__row", "left")
-    met = met.withColumn("__met", F.when(F.coalesce(own, F.lit("")) != "", F.filter(F.coalesce("__names", F.array().cast("array<string>")), lambda t: (t != own) & low.contains(t))).otherwise(F.array().cast("array<string>"))).drop("__row", "__names")
-    if rows > 1:
-        met = met.groupBy(key, "answer", "tenant", "computed").agg(F.array_sort(F.flatten(F.collect_list("__met"))).alias("__met"))
+    none = F.array().cast("array<string>")
+    asked = answers.where(own.isNotNull() & (own != "") & (F.trim(low) != "")).select(F.struct(key, "answer").alias("__of"), low.alias("text"))
+    told = _mentions(asked, names).groupBy("__of").agg(F.array_sort(F.collect_set("name")).alias("__names"))
+    met = answers.join(told, F.struct(key, "answer").eqNullSafe(F.col("__of")), "left")
+    met = met.withColumn("__met", F.when(F.coalesce(own, F.lit("")) != "", F.filter(F.coalesce("__names", none), lambda t: t != own)).otherwise(none))
     answer = F.coalesce("answer", F.lit(""))
     first, promises = _own_violations(answer, F.col("computed"))
     others = F.transform("__met", lambda t: F.concat(F.lit("cross_tenant_leak:mentioned="), t))

@@ -97,6 +97,24 @@ def test_answers_meet_a_dictionary_of_several_rows(spark, monkeypatch):
     assert one[0][3] == ["cross_tenant_leak:mentioned=tenant-3", "cross_tenant_leak:mentioned=tenant-4", "cross_tenant_leak:mentioned=tenant-40"]
 
 
+@pytest.mark.parametrize("most", [3, 500_000])
+def test_names_are_found_anywhere(spark, monkeypatch, most):
+    """Names of 1 to 90 characters, some within others and over the ends of pieces, against a plain search; equal rows all stay."""
+    import random
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abđ") for _ in range(n))
+    names = sorted({word(n) for n in (1, 2, 3, 4, 7, 8, 9, 16, 31, 90) for _ in range(3)} | {"me"})
+    texts = [word(r.randrange(1, 300)) + r.choice(names).upper() + word(r.randrange(1, 70)) for _ in range(30)] + [" ", None]
+    rows = [(k % 20, t, r.choice([" Me", "", None, names[k % len(names)]]), None) for k, t in enumerate(texts)]
+    rows += rows[:3]
+    monkeypatch.setattr(answers, "NAMES", most)
+    got = answers.validate_answers(spark.createDataFrame(rows, "key int, answer string, tenant string, computed long"), spark.createDataFrame([(n,) for n in names], "tenant_id string")).collect()
+    found = lambda t, own: [f"cross_tenant_leak:mentioned={n}" for n in names if own and n in (t or "").lower() and n != own and (t or "").strip()]
+    want = [(k, found(t, (own or "").strip().lower())) for k, t, own, _ in rows]
+    assert sorted((x.key, x.violations) for x in got) == sorted(want)
+
+
 def test_sections_without_entities_give_a_general_map(spark):
     s = spark.createDataFrame([(1, 0, "", "só"), (2, 0, "IELTS A", "IELTS A 3 thang: 9.000.000 vnd"), (2, 1, "Học phí", "IELTS A: 8.500.000 vnd\nx"), (3, 0, "Liên hệ", "0901")], "doc long, idx long, heading string, body string")
     e = kmaps.discover_entities(s)
