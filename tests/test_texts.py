@@ -125,6 +125,31 @@ def test_sections_without_entities_give_a_general_map(spark):
     assert kmaps.heuristic_maps(e.where("false"), s.where("false")).count() == 0
 
 
+def test_recommended_courses_by_all_pairs(spark, monkeypatch):
+    """Nulls on both sides, queries that ask for the same, ties; before the join each duration keeps only courses that can win."""
+    import random
+
+    r = random.Random(2)
+    some = lambda x: r.choice([None, *[x] * 9])
+    q = [(k % 200, r.choice([1, 2, None]), some(float(r.randrange(12))), some(r.randrange(9) * 1_000_000)) for k in range(210)]
+    c = [(k, r.choice([1, 2, None]), some(r.randrange(24) / 2), some(r.randrange(80) * 100_000)) for k in range(1500)]
+    best = {}
+    for query, tenant, target, budget in q:
+        for course, of, months, fee in c:
+            if tenant is None or of != tenant or (months is not None and target is not None and months > target + 0.25) or (fee is not None and budget is not None and fee > budget):
+                continue
+            near = max(0, int(10 - abs(months - target) * 3)) if months is not None and target is not None else 0
+            cheap = max(0, int((budget - fee) / 1_000_000)) if fee is not None and budget is not None else 0
+            best[query] = min(best.get(query, (1, 0)), (-near - cheap, course))
+    frame = type(spark.range(0))
+    joined, join = [], frame.join
+    monkeypatch.setattr(frame, "join", lambda self, other, *on: (joined.append(other.count()), join(self, other, *on))[1])
+    queries = spark.createDataFrame(q, "query int, tenant int, target double, budget long")
+    got = courses.recommend_course(queries, spark.createDataFrame(c, "course int, tenant int, months double, fee long")).collect()
+    assert sorted((x.query, -x.score, x.course) for x in got) == sorted((k, *v) for k, v in best.items())
+    assert joined[0] < len(c) / 3
+
+
 def test_fees_end_at_blank_lines(spark):
     t = spark.createDataFrame([("t", 1, "Khóa A plus:\n\n9tr\nB plus: x\n800k\n7 triệu\nB plus: 6tr\nC: 5tr\n: 5tr"), ("t", 2, None)], "tenant string, pos int, text string")
     assert sorted((r.key, r.fee) for r in courses.course_fees(t).collect()) == [("b plus", 7_000_000)]
