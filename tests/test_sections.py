@@ -70,6 +70,17 @@ def test_values_in_texts(spark):
     assert [r.n for r in n] == ["Lê Van An", "Cv Nguyen B", "X"]
 
 
+def test_skills_by_one_search(spark):
+    """All skills alone, in a row and inside words, against a search for each; the text is gone through twice, for skills and for years."""
+    texts = [*extract.SKILLS, " ".join(extract.SKILLS), "".join(extract.SKILLS), "react native", "React-native", "javascript_ java", "éai ai2 (AI)", "c++c# c#x", "ui/ux", "\U0001d41aai \U0001d41a ai", "go\u00e9 go"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    each = F.array_compact(F.array(*[F.when(F.lower("t").rlike(extract.BEFORE + re.escape(s) + extract.AFTER), F.lit(s.title())) for s in extract.SKILLS]))
+    got = df.select(extract.candidate_criteria(F.col("t")).alias("c"), each.alias("each"))
+    assert all(r.c.skills == r.each for r in got.collect())
+    plan = df.select(extract.candidate_criteria(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and plan.lower().count("regexp_extract") <= 3
+
+
 def test_names_keep_their_digits(spark):
     """A line's blanks go, and no digit, whatever its place."""
     texts = ["0Lê 10\nx", "x\n1Lê 11", "x\n  1Lê 11 ", "y\nx\n2Lê 22"]
