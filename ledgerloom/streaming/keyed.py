@@ -11,21 +11,38 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Rows of a key that one task takes in order at once; a key with more is taken apart into stretches.
+MOST_ROWS = 2000
 Step = Callable[[list, pd.DataFrame], tuple[list, pd.DataFrame]]
 
 
+def _walked(walk: Callable, reach: float) -> Step:
+    """A rule over times alone. ``walk`` takes the state, for each row whether it is the first of its key, and the times; it returns the last key's state and the new columns."""
+
+    def step(state: list, rows: pd.DataFrame) -> tuple[list, pd.DataFrame]:
+        state, added = walk(state, [False] * len(rows), rows["ts"].tolist())
+        return state, rows.assign(**added)
+
+    step.reach, step.walk = reach, walk
+    return step
+
+
 def rate_limit(limit: int, window: float) -> Step:
     """Only admitted events count; a rejected one is told after how many seconds to come again. A limit of 0 or less admits all."""
 
-    def step(admitted: list, rows: pd.DataFrame) -> tuple[list, pd.DataFrame]:
+    def walk(admitted: list, fresh: list[bool], ts: list[float]) -> tuple[list, dict]:
         ok, wait = [], []
-        for t in rows["ts"]:
+        for new, t in zip(fresh, ts, strict=True):
+            if new:
+                admitted = []
             while admitted and admitted[0] < t - window:
                 admitted.pop(0)
             if limit <= 0 or len(admitted) < limit:
@@ -36,26 +53,24 @@ def rate_limit(limit: int, window: float) -> Step:
             else:
                 ok.append(False)
                 wait.append(int(max(1, window - (t - admitted[0]))))
-        return admitted, rows.assign(admitted=ok, retry_after=wait)
+        return admitted, {"admitted": ok, "retry_after": wait}
 
-    step.reach = window
-    return step
+    return _walked(walk, window)
 
 
 def first_within(ttl: float) -> Step:
     """A row is a repeat when the key's last counted row is no more than ``ttl`` old; repeats don't renew it."""
 
-    def step(seen: list, rows: pd.DataFrame) -> tuple[list, pd.DataFrame]:
-        again = []
-        for t in rows["ts"]:
-            repeat = bool(seen) and t - seen[0] <= ttl
+    def walk(seen: list, fresh: list[bool], ts: list[float]) -> tuple[list, dict]:
+        again, last = [], seen[0] if seen else None
+        for new, t in zip(fresh, ts, strict=True):
+            repeat = not new and last is not None and t - last <= ttl
             if not repeat:
-                seen = [float(t)]
+                last = float(t)
             again.append(repeat)
-        return seen, rows.assign(repeat=again)
+        return ([] if last is None else [last]), {"repeat": again}
 
-    step.reach = ttl
-    return step
+    return _walked(walk, ttl)
 
 
 def session_step(n: int = 36) -> Step:
@@ -93,14 +108,29 @@ def _schema(df: DataFrame, added: str) -> str:
 
 def _stretches(df: DataFrame, key: str, reach: float) -> DataFrame:
     """``df`` with ``__stretch``: events of a key belong to one stretch while no whole span of ``reach`` seconds between them is without events. What a rule
-    remembers never reaches over such a span, so stretches are independent. Only the occupied spans of a key are put in order, not its events."""
+    remembers never reaches over such a span, so stretches are independent. Only the occupied spans of a key are put in order, not its events. Keys of up to
+    ``MOST_ROWS`` rows are one stretch."""
+    whole = df.withColumn("__stretch", F.lit(0).cast("long"))
     if not 0 < reach < math.inf:
-        return df.withColumn("__stretch", F.lit(0).cast("long"))
-    spans = df.withColumn("__span", F.floor(F.col("ts") / reach))
+        return whole
+    large = df.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > MOST_ROWS).select(F.col(key).alias("__large"))
+    if not large.limit(1).count():
+        return whole
+    is_large = F.col(key).eqNullSafe(F.col("__large"))
+    whole = whole.join(large, is_large, "left_anti")
+    spans = df.join(large, is_large, "left_semi").withColumn("__span", F.floor(F.col("ts") / reach))
     order = Window.partitionBy(key).orderBy("__span")
     taken = spans.groupBy(key, "__span").agg(F.count("*").alias("__n")).withColumn("__new", (F.col("__span") - F.lag("__span").over(order) > 1).cast("int"))
     named = taken.select(F.col(key).alias("__key"), F.col("__span").alias("__at"), F.coalesce(F.sum("__new").over(order), F.lit(0)).alias("__stretch"))
-    return spans.join(named, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__span") == F.col("__at"))).drop("__key", "__at", "__span")
+    return whole.unionByName(spans.join(named, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__span") == F.col("__at"))).drop("__key", "__at", "__span"))
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; null is a value, and so is NaN."""
+    column = column.cast(pa.string()) if pa.types.is_floating(column.type) else column
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    other = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return other | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
 
 
 def in_batch(df: DataFrame, key: str, step: Step, added: str, order: tuple = ("ts",)) -> DataFrame:
@@ -122,8 +152,21 @@ def in_batch(df: DataFrame, key: str, step: Step, added: str, order: tuple = ("t
                 last = group[a]
                 yield out
 
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A batch at once, whatever the number of its keys."""
+        last, state = None, []
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            keys = [rows.column(key), rows.column("__stretch")]
+            fresh = np.concatenate([[last is None or _changes(pa.concat_arrays([last[0], keys[0].slice(0, 1)]))[0] or last[1] != keys[1][0].as_py()], _changes(keys[0]) | _changes(keys[1])])
+            state, columns = step.walk(state, fresh.tolist(), rows.column("ts").to_numpy(zero_copy_only=False).tolist())
+            last = keys[0].slice(len(keys[0]) - 1), keys[1][-1].as_py()
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), *map(pa.array, columns.values())], [*names, *columns])
+
     rows = _stretches(df, key, getattr(step, "reach", math.inf))
-    return rows.repartition(key, "__stretch").sortWithinPartitions(key, "__stretch", *order).mapInPandas(fold, _schema(df, added))
+    rows = rows.repartition(key, "__stretch").sortWithinPartitions(key, "__stretch", *order)
+    return rows.mapInArrow(walked, _schema(df, added)) if hasattr(step, "walk") else rows.mapInPandas(fold, _schema(df, added))
 
 
 def in_event_time(df: DataFrame, key: str, step: Step, added: str, late: str = "1 hour", order: tuple = ("ts",), keep_sec: float | None = None) -> DataFrame:

@@ -112,3 +112,23 @@ def test_stretches_and_null_keys(spark):
     assert got.count() == len(rows) and got.where("admitted").count() == len(rows)
     assert keyed.in_batch(df.where("false"), "key", step, "admitted boolean, retry_after long").count() == 0
     assert keyed.in_batch(df.where(F.col("key").isNull()), "key", step, "admitted boolean, retry_after long").count() == 39
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_many_small_keys_in_whole_batches(spark, kind):
+    """Keys below ``MOST_ROWS`` rows need no stretches and no join; null and NaN keys, batches that end within a key, against a plain loop."""
+    r = random.Random(3)
+    keys = [None, *([float("nan"), 1.5, 2.0] if kind == "double" else ["", "a"]), *[(float(k + 9) if kind == "double" else f"k{k}") for k in range(60)]]
+    rows = [(float(r.randrange(5000)), r.choice(keys), i) for i in range(900)]
+    df = spark.createDataFrame(rows, f"ts double, key {kind}, id long")
+    last, want = {}, {}
+    for t, k, i in sorted(rows, key=lambda x: (x[0], x[2])):
+        want[i] = repr(k) in last and t - last[repr(k)] <= 200
+        last[repr(k)] = last[repr(k)] if want[i] else t
+    told = keyed.in_batch(df, "key", keyed.first_within(200), "repeat boolean", ("ts", "id"))
+    assert "Join" not in told._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {x.id: x.repeat for x in told.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
