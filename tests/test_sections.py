@@ -81,6 +81,13 @@ def test_skills_by_one_search(spark):
     assert "RLIKE" not in plan and plan.lower().count("regexp_extract") <= 3
 
 
+def test_relevant_lines_are_normalised_once(spark):
+    rows = [("a\nÍELTS x\nb\nc\n \nd", "ielts 5"), ("none\n5 tr\nz\n6 vnd", "ielts"), (None, "x"), ("x", None), ("q\n" * 400 + "Pro\n" + "w\n" * 5, "pro")]
+    df = spark.createDataFrame(rows, "t string, e string").select(sections.relevant_lines(F.col("t"), F.col("e"), most=1).alias("x"))
+    assert [r.x for r in df.collect()] == ["ÍELTS x\nb\nc", "5 tr", "", "", "Pro\nw\nw"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("translate(") <= 4
+
+
 def test_names_keep_their_digits(spark):
     """A line's blanks go, and no digit, whatever its place."""
     texts = ["0Lê 10\nx", "x\n1Lê 11", "x\n  1Lê 11 ", "y\nx\n2Lê 22"]
