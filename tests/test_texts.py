@@ -48,6 +48,15 @@ def test_spans_are_those_of_a_plain_search(spark):
     assert [[(m.start, m.end, m.text) for m in r] for r in got] == [[(m.start(), m.end(), m[0]) for m in re.finditer("X+", t or "")] for t in texts]
 
 
+def test_spans_search_a_text_twice(spark):
+    """Once for the matches and once for what is between them, however many there are."""
+    df = spark.createDataFrame([("ab" * 3000,), (None,)], "t string").select(spans.matches(F.col("t"), "(b)", 1).alias("x"))
+    got = df.collect()
+    assert [(m.start, m.end, m.part) for m in got[0].x] == [(2 * i + 1, 2 * i + 2, "b") for i in range(3000)] and got[1].x == []
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("split(") == 1 and plan.count("regexp_extract_all(") == 2
+
+
 def test_evidence_by_what_stands_near(spark):
     e = told(spark, ["Học phí trọn gói 900.000 vnd", "lệ phí thi 2.000.000 đ", "2.000.000 đ" + " " * 61 + "lệ phí thi", "IELTS 6,5 ielts 6.5 TOEIC 800, b1 B2, 3 tháng 3 thang 12 tuần"], evidence.extract_evidence)
     assert [(r.tuition_vnd, r.fees_vnd) for r in e[:3]] == [([900_000], None), (None, [2_000_000]), ([2_000_000], None)]
